@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, quality
+from . import bpe, licenses, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_license_scan": licenses.op5_license_scan,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
