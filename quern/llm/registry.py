@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, lm, quality, toxicity
+from . import bpe, licenses, lm, minhash, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_minhash_near_dups": minhash.op2_minhash_near_dups,
         "op3_lm_score": lm.op3_lm_score,
         "op5_license_scan": licenses.op5_license_scan,
         "op7_byte_bpe": bpe.op7_byte_bpe,
