@@ -6,17 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, lm, minhash, quality, toxicity
+from . import bpe, decontaminate, licenses, lines, lm, minhash, quality, toxicity
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash_near_dups": minhash.op2_minhash_near_dups,
         "op3_lm_score": lm.op3_lm_score,
+        "op4_line_dedup": lines.op4_line_dedup,
         "op5_license_scan": licenses.op5_license_scan,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality_rules": quality.op10_quality_rules,
+        "pipeline": _pipeline,
     }
 
 
