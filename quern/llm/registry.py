@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, lines, lm, minhash, quality, toxicity
+from . import bpe, decontaminate, licenses, lines, lm, minhash, quality, suffixes, toxicity
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": suffixes.op1_suffix_dedup,
         "op2_minhash_near_dups": minhash.op2_minhash_near_dups,
         "op3_lm_score": lm.op3_lm_score,
         "op4_line_dedup": lines.op4_line_dedup,
