@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, lines, lm, minhash, quality, suffixes, toxicity
+from . import bpe, decontaminate, licenses, lines, lm, minhash, quality, suffixes, toxicity, warc
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_lm_score": lm.op3_lm_score,
         "op4_line_dedup": lines.op4_line_dedup,
         "op5_license_scan": licenses.op5_license_scan,
+        "op6_warc_index": warc.op6_warc_index,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_toxicity": toxicity.op9_toxicity,
@@ -31,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality.ORACLE}
+    return {"op6_warc_index": warc.ORACLE, "op10_quality_rules": quality.ORACLE}
