@@ -1,4 +1,4 @@
-"""All registered queries and their SQL twins."""
+"""Where plan modules register their queries."""
 
 from __future__ import annotations
 
@@ -13,7 +13,11 @@ _sql: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Decorator: file a query under ``name`` with the DuckDB SQL of the same rows, if there is one."""
+
     def keep(f: Query) -> Query:
+        if name in _queries:
+            raise ValueError(f"query {name} is registered twice")
         _queries[name] = f
         if sql is not None:
             _sql[name] = sql
