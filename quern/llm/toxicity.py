@@ -53,11 +53,11 @@ def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     for n in (3, 4, 5):
         count = np.maximum(np.diff(off) - n + 1, 0)
         at = C.spread(off[:-1], count)
-        flat.append(C.mix(rolling.span_hash(p, at, at + n) + np.uint64(n)) % np.uint64(CHAR_ROWS))
-        owner.append(np.repeat(own, count))
+        flat.append((C.mix(rolling.span_hash(p, at, at + n) + np.uint64(n)) % np.uint64(CHAR_ROWS)).astype(np.int32))
+        owner.append(np.repeat(own.astype(np.int32), count))
     owner = np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return rows, np.concatenate(flat).astype(np.int64)[order], owner[order], np.bincount(owner, minlength=len(words))
+    return rows, np.concatenate(flat)[order], owner[order], np.bincount(owner, minlength=len(words))
 
 
 def tokens(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -98,7 +98,11 @@ class Network:
         out = np.zeros((len(rows) + 1, WORD_DIM + CHAR_DIM), np.float32)
         if len(rows):
             out[:-1, :WORD_DIM] = self.p["word"][rows]
-            out[:-1, WORD_DIM:] = np.add.reduceat(self.p["char"][flat], np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes[:, None]
+            begin = np.concatenate([[0], np.cumsum(sizes)])
+            for lo in range(0, len(rows), 1 << 14):  # bounded pieces
+                hi = min(lo + (1 << 14), len(rows))
+                part = self.p["char"][flat[begin[lo] : begin[hi]]]
+                out[lo:hi, WORD_DIM:] = np.add.reduceat(part, begin[lo:hi] - begin[lo]) / sizes[lo:hi, None]
         return out
 
     def forward(self, projected: dict[str, np.ndarray], at: np.ndarray, keep: bool = False):
@@ -183,7 +187,7 @@ class Network:
 def _grid(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     steps = np.arange(WIDTH)
     at = np.minimum(start[:, None] + steps, max(len(codes) - 1, 0))
-    return np.where(steps < length[:, None], codes[at] if len(codes) else -1, -1)
+    return np.where(steps < length[:, None], codes[at] if len(codes) else -1, -1).astype(np.int32)
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = 4, seed: int = 7, window_cap: int = 60_000) -> Network:
@@ -199,16 +203,21 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 4, seed: int = 7,
     npos = max(1, labels.sum())
     nneg = max(1, len(labels) - npos)
 
-    def odds(ids: np.ndarray, docs: np.ndarray, size: int) -> np.ndarray:
-        seen = np.unique(docs * size + ids)
-        d, i = seen // size, seen % size
-        a = np.bincount(i, labels[d], size)
-        b = np.bincount(i, 1 - labels[d], size)
+    def odds(of_word, size: int) -> np.ndarray:
+        """Log odds per table row; ``of_word(w)`` gives the rows of words w and how many each has."""
+        a, b = np.zeros(size), np.zeros(size)
+        edges = np.searchsorted(doc, np.arange(0, len(texts) + 64, 64))
+        for lo, hi in zip(edges[:-1], edges[1:]):  # 64 texts at a time
+            ids, count = of_word(word[lo:hi])
+            seen = np.unique(np.repeat(doc[lo:hi], count) * size + ids)
+            d, i = seen // size, seen % size
+            a += np.bincount(i, labels[d], size)
+            b += np.bincount(i, 1 - labels[d], size)
         return np.clip(np.log(((a + 0.5) / (npos + 1)) / ((b + 0.5) / (nneg + 1))) * np.minimum(1, (a + b) / 8), -3, 4)
 
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    char = odds(flat[C.spread(begin[word], sizes[word])], np.repeat(doc, sizes[word]), CHAR_ROWS)
-    wrd = odds(which[word], doc, WORD_ROWS)
+    char = odds(lambda w: (flat[C.spread(begin[w], sizes[w])], sizes[w]), CHAR_ROWS)
+    wrd = odds(lambda w: (which[w], np.ones(len(w), np.int64)), WORD_ROWS)
     net.p["char"][:, 0], net.p["word"][:, 0] = char / 2, wrd / 2
     evidence = np.maximum.reduceat(char[flat], begin) + wrd[which]
     grid = _grid(codes, start, length)
@@ -258,14 +267,18 @@ def _logit(s: np.ndarray) -> np.ndarray:
     return np.log(s / (1 - s))
 
 
+#: Where the score 0.7 lies: this part of the way up to the toxic texts' low end, in logits.
+PLACE = 0.65
+
+
 def _calibrate(s: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit on the worst windows' logits, both classes of equal weight."""
-    x, a, b = _logit(s), 1.0, 0.0
-    w = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
-    for _ in range(2000):
-        d = (_sigmoid(a * x + b) - labels) * w
-        a, b = max(0.05, a - 0.05 * ((d * x).sum() + 1e-3 * a)), b - 0.3 * d.sum()
-    return a, b
+    """Slope and offset that place the score 0.7 below the toxic texts and above the clean ones."""
+    x = _logit(s)
+    if not (labels == 1).any():
+        return 1.0, 0.0
+    low = float(np.quantile(x[labels == 1], 0.01))
+    at = max(PLACE * low, min(low, float(x[labels == 0].max(initial=-20)))) if low > 0 else low
+    return 1.0, float(np.log(0.7 / 0.3)) - at
 
 
 def score_rows(net: Network, text: pa.Array) -> np.ndarray:
@@ -285,7 +298,7 @@ def fold(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % 3
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1200, max_negative: int = 3000, max_chars: int = 6000) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1000, max_negative: int = 2400, max_chars: int = 4000) -> Network | None:
     """Train on a bounded sample of the labelled rows outside the held-out fold."""
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     near = F.xxhash64(F.col("doc_id"), F.lit(11))
