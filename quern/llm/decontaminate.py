@@ -168,6 +168,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
                 p = pair_of(h)
                 row = C.row_of(off)
                 start = np.flatnonzero(_in(pair_map, p, PAIR_BITS) & (row[:-1] == row[1:]))
+                if not len(start):
+                    continue
                 made = walk_keys(h, start, off[1:][row[start]], p[start]).reshape(-1, len(start))
                 hit = _in(key_map, made, KEY_BITS)
                 some = np.flatnonzero(hit.any(axis=0))
