@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 
 _runs: dict[str, str] = {}
+_tables: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -60,6 +61,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.quern_path = path
+    _tables.append(path)
     return out
 
 
@@ -68,6 +70,16 @@ def forget(df: DataFrame) -> None:
     _remove(df.sparkSession, df.quern_path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Delete all tables made by :func:`written` so far.
+
+    Only for callers that have stored what they need of earlier results, such as
+    a pipeline between two stages.
+    """
+    while _tables:
+        _remove(spark, _tables.pop())
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
