@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, files, quantization, runs, windowing  # noqa: F401
+from . import corpus, details, evaluation, files, quantization, runs, windowing  # noqa: F401
 from .registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
