@@ -92,7 +92,8 @@ def l7(spark: SparkSession, d: str) -> DataFrame:
     return board(spark).groupBy("day").agg(F.min("score").alias("best"), F.count("*").alias("runs"))
 
 
-SEEDS = "('new', 1.11473), ('new', 1.11437), ('new', 1.11507), ('old', 1.11940), ('old', 1.11922), ('old', 1.11991)"
+# fixed values: scores of three seeds each of two runs, with t = -11.83 and df = 3.31
+SEEDS = "('new', 1.11508120), ('new', 1.11437394), ('new', 1.11475014), ('old', 1.11922988), ('old', 1.12002032), ('old', 1.11888882)"
 
 
 def seeds(spark: SparkSession) -> DataFrame:
