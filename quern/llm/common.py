@@ -8,6 +8,7 @@ pieces of bounded size, and how text becomes words without a Python loop.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,13 +56,19 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
+
+    The shuffle files of the write are of no more use; Spark's cleaner deletes
+    them once the driver's garbage is collected, which is asked for here.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.quern_path = path
     _tables.append(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 

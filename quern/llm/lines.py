@@ -169,9 +169,10 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     spot = F.struct("doc_id", "dk", "no")
     classes = C.written(lines.groupBy("h", "g").agg(F.min(spot).alias("first")), "line-classes")
     # 1: halves. A key is shared if two different lines have it; copies of one line do not count.
-    keyed = lines.join(classes.select("h", "g", "first"), ["h", "g"]).where(spot == F.col("first")).select("h", "g", "doc_id", "dk", "no", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
-    some = keyed.join(shared, "key", "left_semi").groupBy("dk").agg(F.collect_set("no").alias("nos"))
+    keyed = lines.select("h", "g", F.explode("keys").alias("key"))
+    shared = C.written(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"), "line-keys")
+    found = keyed.join(shared, "key", "left_semi").select("h", "g").distinct()
+    some = found.join(classes, ["h", "g"]).select("first.dk", "first.no").groupBy("dk").agg(F.collect_set("no").alias("nos"))
     texts = C.written(base.join(some, "dk").select("dk", "text", "nos").mapInArrow(_texts, "h long, g long, line string").dropDuplicates(["h", "g"]), "line-texts")
     # 2: sixteenths
     fine = texts.mapInArrow(_fine, "h long, g long, key long, longer int, q int")
