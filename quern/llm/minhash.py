@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         links = of_id.join(of_id.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").select("a", F.col("cid").alias("b")).where("a <> b").distinct()
 
     posts = classes.select("cid", F.explode("keys").alias("key"))
-    common = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    # written, so that the join below has a plain exchange on either side and Spark can split a hot key's rows
+    common = C.written(posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "keys")
     ordered = (
         posts.join(common, "key")
         .groupBy("cid")
@@ -214,12 +215,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # of which the next to last is at most the smaller of |h-x| and |h-m|. So a link without a common added shingle
     # needs inter(x, h) >= bound and inter(m, h) >= bound with bound = percent/(100+percent) * (|x| + |m|).
     # First those without that need: they are joined by what they add to the hub.
-    added = rows.where("inter IS NOT NULL").select("cid", "hub", "comp").distinct()
+    added = rows.where("inter IS NOT NULL").select("cid", "hub", "comp", "n", "inter").distinct()
     added = added.join(sets.select("cid", "shingles"), "cid").join(sets.select(F.col("cid").alias("hub"), F.col("shingles").alias("base")), "hub")
-    added = C.written(added.select("cid", "hub", "comp", F.explode(F.array_except("shingles", "base")).alias("added")), "added")
+    added = C.written(added.select("cid", "hub", "comp", "n", "inter", F.explode(F.array_except("shingles", "base")).alias("added")), "added")
     many = added.groupBy("hub", "added").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hub", "added")
-    some = added.join(many, ["hub", "added"], "left_semi").select("cid", "hub", "comp", "added")
-    by_added = some.toDF("a", "hub", "ca", "added").join(some.toDF("b", "hub", "cb", "added"), ["hub", "added"]).where("a < b AND ca <> cb").select("a", "b").distinct()
+    some = added.join(many, ["hub", "added"], "left_semi").select("cid", "hub", "comp", "added", "n", "inter")
+    both = some.toDF("a", "hub", "ca", "added", "na", "ia").join(some.toDF("b", "hub", "cb", "added", "nb", "ib"), ["hub", "added"]).where("a < b AND ca <> cb")
+    # with c common added shingles a pair shares at most min(inter) + c
+    by_added = both.groupBy("a", "b", "hub", "na", "nb", "ia", "ib").agg(F.count("*").alias("c")).where(f"(100 + {percent}) * (c + least(ia, ib)) >= {percent} * (na + nb)").select("a", "b").distinct()
     # Then those that may meet the bound, and those that no hub was compared with.
     least_n = rows.groupBy("key").agg(F.min("n").alias("least_n"))
     enough = F.col("inter").isNull() | ((100 + percent) * F.col("inter") >= percent * (F.col("n") + F.greatest("least_n", F.col("n") * percent / 100)))
