@@ -7,9 +7,9 @@ edit, so their walks agree in most steps (small Hamming distance).  Each of REPE
 walks samples a few steps; a window and an item that agree on all sampled steps
 of one walk are a candidate pair.
 
-Windows start at every word whose pair with the next word opens one of the
-item's first OFFSETS places, as far as a fixed-size bitmap of these pairs tells
-(it has false positives only).  The walk is as long as what is left of the item
+Windows start at every word that, with the next two, opens one of the items'
+first OFFSETS places, as far as a fixed-size bitmap of these openings tells (it
+has false positives only); an edit hits three of the openings at most.  The walk is as long as what is left of the item
 there allows (three size classes).  Window keys that a fixed-size bitmap of item
 keys does not rule out are joined to the item keys in Spark, and each candidate
 is verified: the item's exact edit distance to the best part of the window, in
@@ -66,8 +66,9 @@ def symbols(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return flat, C.mix(rolling.span_hash(rolling.prefix(data), start, end)), off
 
 
-def pair_of(h: np.ndarray) -> np.ndarray:
-    return C.mix(h[:-1] * _A + h[1:] * _B)
+def opening(h: np.ndarray) -> np.ndarray:
+    """A hash of each word with the next two."""
+    return C.mix(C.mix(h[:-2] * _A + h[1:-1] * _B) + h[2:] * _A)
 
 
 def walk_keys(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -89,7 +90,7 @@ def walk_keys(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, pairs: np.nda
 
 
 def item_keys(items: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Opening pairs; keys with their items and offsets; the longest item's words."""
+    """Openings; keys with their items and offsets; the longest item's words."""
     _, h, off = symbols(pa.array([t or "" for _, t in items], pa.large_string()))
     pairs, keys, ids, places, longest = [], [], [], [], 0
     for k, (item, _) in enumerate(items):
@@ -99,7 +100,7 @@ def item_keys(items: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.
             continue
         longest = max(longest, n)
         o = np.arange(min(OFFSETS, n - MIN_WORDS + 1))
-        p = pair_of(own)[o]
+        p = opening(own)[o]
         made = walk_keys(own, o, np.full(len(o), n), p)
         cls = np.searchsorted([-c[0] for c in CLASSES], -(n - o))
         pairs.append(p)
@@ -163,11 +164,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
         for batch in batches:
             for part, text in C.chunks(batch, "text"):
                 flat, h, off = symbols(text)
-                if len(h) < 2 or not longest:
+                if len(h) < 3 or not longest:
                     continue
-                p = pair_of(h)
+                p = opening(h)
                 row = C.row_of(off)
-                start = np.flatnonzero(_in(pair_map, p, PAIR_BITS) & (row[:-1] == row[1:]))
+                start = np.flatnonzero(_in(pair_map, p, PAIR_BITS) & (row[:-2] == row[2:]))
                 if not len(start):
                     continue
                 made = walk_keys(h, start, off[1:][row[start]], p[start]).reshape(-1, len(start))
