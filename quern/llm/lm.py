@@ -43,7 +43,7 @@ from . import rolling
 #: Words whose counts every executor holds.
 HEAD = 1 << 17
 #: Frequent words (and the end) that are classes of their own; classes of other words.
-SINGLE, SHARED = 47, 80
+SINGLE, SHARED = 23, 40
 CLASSES = 1 + SINGLE + SHARED
 #: Hashed weight rows of each kind of feature.
 ROWS = 1 << 11
@@ -172,11 +172,14 @@ class Model:
         s /= s.sum(axis=1, keepdims=True)
         s[np.arange(len(s)), target] -= 1
         for k in range(KINDS):
-            order = np.argsort(feats[:, k], kind="stable")
+            order = np.argsort((feats[:, k] - k * ROWS).astype(np.uint16), kind="stable")  # 16 bits: a radix sort
             rows = feats[order, k]
             at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            n = np.diff(np.concatenate([at, [len(rows)]])).astype(np.float32)
-            w[rows[at]] -= (RATE / np.sqrt(n + 4.0))[:, None] * np.add.reduceat(s[order], at, axis=0) / KINDS
+            end = np.concatenate([at[1:], [len(rows)]]) - 1
+            total = np.cumsum(s[order], axis=0)[end]  # running sums: several times faster here than reduceat
+            total[1:] -= total[:-1].copy()
+            step = RATE / KINDS / np.sqrt((end - at + 5).astype(np.float32))
+            w[rows[at]] -= step[:, None] * total
         w[-1] -= 0.05 * s.mean(axis=0)
 
 
