@@ -171,7 +171,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
         raise ValueError("a window must be longer than its anchor, and both fit the packed places")
     base = C.pick(docs, "doc_id", "text").where(F.octet_length("text") >= window).select(F.xxhash64("doc_id", "text").alias("dk"), "text")
     rows = C.written(base.mapInArrow(_anchors(window, gram), "dk long, g long, u long, at long"), "anchors")
-    again = rows.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
+    # written, so that the join below has a plain exchange on either side and Spark can split a hot anchor's rows
+    again = C.written(rows.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"), "anchors-again")
     live = C.written(rows.join(again, "g", "left_semi").select("dk", "g", "u", "at"), "anchors-live")
     C.forget(rows)
     classes = C.written(live.groupBy("g", "u").agg(F.count("*").alias("k"), F.min(F.struct("dk", "at")).alias("rep")), "anchor-classes")
