@@ -298,21 +298,18 @@ def fold(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % 3
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1000, max_negative: int = 2400, max_chars: int = 4000) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1200, max_negative: int = 2800, max_chars: int = 4000) -> Network | None:
     """Train on a bounded sample of the labelled rows outside the held-out fold."""
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     near = F.xxhash64(F.col("doc_id"), F.lit(11))
-    sample = C.pick(docs, "doc_id", "text").where(F.length("text").between(1, max_chars)).join(ids, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = []
-    for toxic, most in ((1, max_positive), (0, max_negative)):
-        rows += sample.where(F.col("toxic") == toxic).orderBy(near, "doc_id").limit(most).select("doc_id", "text").collect()
-        if not rows:
-            return None
-        if toxic:
-            n = len(rows)
-    if len(rows) == n:
+    chosen = [ids.where(F.col("toxic") == k).orderBy(near, "doc_id").limit(most) for k, most in ((1, max_positive), (0, max_negative))]
+    picked = [tuple(r) for c in chosen for r in c.collect()]  # ids only, at most max_positive + max_negative
+    few = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
+    texts = C.pick(docs, "doc_id", "text").where(F.length("text").between(1, max_chars)).join(F.broadcast(few), "doc_id")
+    rows = sorted(texts.dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect())
+    if len({r["toxic"] for r in rows}) < 2:
         return None
-    return train([r["text"] for r in rows], np.array([1] * n + [0] * (len(rows) - n)))
+    return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
