@@ -176,7 +176,7 @@ class Model:
             rows = feats[order, k]
             at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
             end = np.concatenate([at[1:], [len(rows)]]) - 1
-            total = np.cumsum(s[order], axis=0)[end]  # running sums: several times faster here than reduceat
+            total = np.cumsum(s[order], axis=0)[end]  # sums by differences of running sums
             total[1:] -= total[:-1].copy()
             step = RATE / KINDS / np.sqrt((end - at + 5).astype(np.float32))
             w[rows[at]] -= step[:, None] * total
