@@ -34,7 +34,7 @@ from . import common as C
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Distinct merged pre-tokens that a worker remembers before it starts anew.
-CACHE = 800_000
+CACHE = 500_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -285,7 +285,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, text in C.chunks(batch, "text", 4 << 20):
+            for part, text in C.chunks(batch, "text", 1 << 20):
                 ids, off = held.value.encode(text)
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), lists, held.value.decode(ids, off).cast(pa.binary())], ["doc_id", "n_tokens", "token_ids", "decoded"])
@@ -299,7 +299,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, text in C.chunks(batch, "text", 4 << 20):
+            for part, text in C.chunks(batch, "text", 1 << 20):
                 ids, off = held.value.encode(text)
                 data, ends = C.buffers(held.value.decode(ids, off))
                 raw = ids.astype("<u4")

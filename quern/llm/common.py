@@ -8,6 +8,7 @@ pieces of bounded size, and how text becomes words without a Python loop.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -109,6 +110,16 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         end = max(start + 1, int(np.searchsorted(size, before + limit, "right")))
         yield batch.slice(start, end - start), pc.fill_null(text.slice(start, end - start), "")
         start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are reused, and one executor has several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
