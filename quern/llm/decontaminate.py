@@ -1,25 +1,26 @@
-"""Benchmark decontamination with CGK embeddings and bit-sampling LSH (operator 8).
-
-The CGK embedding walks over a sequence: at step t it writes the symbol under the
-cursor, and a random bit that depends on t and the symbol says whether the cursor
-moves on.  Two sequences at small edit distance fall into step again after an
-edit, so their walks agree in most steps (small Hamming distance).  Each of REPEATS
-walks samples a few steps; a window and an item that agree on all sampled steps
-of one walk are a candidate pair.
-
-Windows start at every word that, with the next two, opens one of the items'
-first OFFSETS places, as far as a fixed-size bitmap of these openings tells (it
-has false positives only); an edit hits three of the openings at most.  The walk is as long as what is left of the item
-there allows (three size classes).  Window keys that a fixed-size bitmap of item
-keys does not rule out are joined to the item keys in Spark, and each candidate
-is verified: the item's exact edit distance to the best part of the window, in
-characters of the lower-cased texts, must be at most MAX_EDITS of its length.
-
-Defined cases: null and empty texts hold nothing; items with fewer than
-MIN_WORDS words are never looked for; documents are told apart by id and text, so
-repeated rows give one result and are dropped together, and null ids work like
-any other; an empty benchmark or table gives an empty result; other columns pass
-through.
+"""Benchmark decontamination by intact stretches and exact edit distance (operator 8).
+
+A document holds an item if some part of it is within MAX_EDITS of the item's
+length in edits, in characters of the lower-cased texts with one space between
+words.  The edits may be anywhere, and every item with a word is looked for.
+
+All stretches of an item (its grams of ``span`` characters, at every place) are
+looked up in the text.  The span follows from the item's length m and its edits k:
+k edits at random places leave SEEDS stretches of that many characters intact on
+average, or one for certain where that allows a longer span (m // (k + 1): short
+items are found without exception).  A stretch at place o of the item and p of the
+text says that a held part begins at p - o, give or take k; such places are put in
+bands, and for each band the item's exact edit distance to the best part is
+computed, for many bands at once.  So all finds are right, and an item is missed
+only if its edits leave no stretch intact; the tests measure that against the edit
+distance of every item to every text.
+
+The benchmark is sent to all, and so the text is read once and nothing is joined.
+
+Defined cases: null and empty texts hold nothing, and empty items are held by
+nothing; documents are told apart by id and text, so repeated rows give one result
+and are dropped together, and null ids work like any other; an empty benchmark or
+table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -33,94 +34,154 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import rolling
 
-REPEATS = 8
-OFFSETS = 10
-MIN_WORDS = 5
 MAX_EDITS = 0.2
-#: Size classes: words left, steps walked, steps sampled.
-CLASSES = ((16, 28, 4), (8, 12, 3), (5, 7, 2))
-STEPS = CLASSES[0][1]
-#: Bits of the two bitmaps.
-PAIR_BITS, KEY_BITS = 24, 26
-#: Words of context that a candidate window carries on either side.
-SLACK = 12
-
-_rng = np.random.default_rng(20240611)
-_bits = _rng.integers(1, 1 << 63, (REPEATS, STEPS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_sampled = [[set(_rng.choice(np.arange(1, steps), take, replace=False).tolist()) for _, steps, take in CLASSES] for _ in range(REPEATS)]
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_soft = np.zeros(256, bool)
-_soft[[ord(c) for c in ".,;:!?\"'()[]"]] = True
-
-
-def symbols(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Lower-cased words, a hash of each without closing punctuation, and row offsets."""
-    flat, off = C.words_of(pc.utf8_lower(text))
-    data, at = C.buffers(flat.cast(pa.large_string()))
-    start, end = at[:-1], at[1:].copy()
-    for _ in range(2):
-        cut = (end - start > 1) & _soft[data[np.maximum(end - 1, 0)]] if len(data) else np.zeros(len(end), bool)
-        end[cut] -= 1
-    return flat, C.mix(rolling.span_hash(rolling.prefix(data), start, end)), off
-
-
-def opening(h: np.ndarray) -> np.ndarray:
-    """A hash of each word with the next two."""
-    return C.mix(C.mix(h[:-2] * _A + h[1:-1] * _B) + h[2:] * _A)
-
-
-def walk_keys(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Keys of the windows at ``starts``: one for each walk and size class (REPEATS, classes, windows)."""
-    out = np.empty((REPEATS, len(CLASSES), len(starts)), np.uint64)
-    last = max(len(h) - 1, 0)
-    for r in range(REPEATS):
-        at = starts.copy()
-        acc = [pairs + np.uint64(64 * r + c) for c in range(len(CLASSES))]
-        for t in range(STEPS):
-            sym = np.where(at < ends, h[np.minimum(at, last)], np.uint64(0))
-            for c, (_, steps, _) in enumerate(CLASSES):
-                if t < steps and t in _sampled[r][c]:
-                    acc[c] = C.mix(acc[c] * _A + sym)
-            at += ((sym * _bits[r, t]) >> np.uint64(63)).astype(np.int64)
-        for c in range(len(CLASSES)):
-            out[r, c] = acc[c]
-    return out
-
-
-def item_keys(items: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Openings; keys with their items and offsets; the longest item's words."""
-    _, h, off = symbols(pa.array([t or "" for _, t in items], pa.large_string()))
-    pairs, keys, ids, places, longest = [], [], [], [], 0
-    for k, (item, _) in enumerate(items):
-        own = h[off[k] : off[k + 1]]
-        n = len(own)
-        if n < MIN_WORDS:
-            continue
-        longest = max(longest, n)
-        o = np.arange(min(OFFSETS, n - MIN_WORDS + 1))
-        p = opening(own)[o]
-        made = walk_keys(own, o, np.full(len(o), n), p)
-        cls = np.searchsorted([-c[0] for c in CLASSES], -(n - o))
-        pairs.append(p)
-        keys.append(made[:, cls, np.arange(len(o))].ravel())
-        ids.append(np.full(REPEATS * len(o), item))
-        places.append(np.tile(o, REPEATS))
-    cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-    return cat(pairs, np.uint64), cat(keys, np.uint64), cat(ids, np.int64), cat(places, np.int64), longest
-
-
-def _bitmap(values: np.ndarray, bits: int) -> np.ndarray:
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    v = (values & np.uint64((1 << bits) - 1)).astype(np.int64)
-    np.bitwise_or.at(out, v >> 3, (1 << (v & 7)).astype(np.uint8))
-    return out
-
-
-def _in(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
-    v = (values & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return (bitmap[v >> 3] >> (v & 7).astype(np.uint8)) & 1 == 1
+#: Intact stretches of an item that edits up to the limit leave on average.
+SEEDS = 3
+#: Bits of the table of stretches that a text is held against first, and characters of text in bands at once.
+BITS, AT_ONCE = 20, 1 << 21
+_P = np.uint64(0x9E3779B97F4A7C15)
+
+
+def normal(text: pa.Array) -> pa.Array:
+    """Lower-cased texts with one space between words."""
+    flat, off = C.words_of(pc.utf8_lower(text.cast(pa.large_string())))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), flat.cast(pa.string())), " ")
+
+
+def characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def grams(c: np.ndarray, spans: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each span, a hash of the characters from each place on."""
+    x = c.astype(np.uint64) + np.uint64(1)
+    h = np.zeros(len(c), np.uint64)
+    for q in range(1, min(max(spans, default=0), len(c)) + 1):
+        h = h[: len(c) - q + 1] * _P + x[q - 1 :]
+        if q in spans:
+            yield q, C.mix(h)
+
+
+def span(m: int, k: int) -> int:
+    """Characters of an item's stretches."""
+    q = 1
+    while (k + 1) * (1 - k / m) ** (q + 1) >= SEEDS:
+        q += 1
+    return max(q, m // (k + 1))
+
+
+class Items:
+    """A benchmark in normal form, its stretches, and its characters as bits."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], max_edits: float):
+        text = normal(pa.array([t or "" for _, t in items], pa.large_string())).to_pylist() if items else []
+        full = [(i, t) for (i, _), t in zip(items, text) if t]
+        self.ids = [i for i, _ in full]
+        own = [characters(t) for _, t in full]
+        self.m = np.array([len(c) for c in own], np.int64)
+        self.k = np.array([int(max_edits * n) for n in self.m], np.int64)
+        self.band = np.maximum(self.k, 8)
+        self.code = np.zeros(0x110000, np.uint16)
+        used = np.unique(np.concatenate([*own, np.zeros(0, np.uint32)]))
+        self.code[used] = np.arange(1, len(used) + 1)
+        made: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for i, c in enumerate(own):
+            q = span(int(self.m[i]), int(self.k[i]))
+            made.setdefault(q, []).append((next(grams(c, {q}))[1], i))
+        self.index = {}
+        for q, parts in made.items():
+            key = np.concatenate([g for g, _ in parts])
+            order = np.argsort(key, kind="stable")
+            item = np.concatenate([np.full(len(g), i) for g, i in parts])[order]
+            place = np.concatenate([np.arange(len(g)) for g, _ in parts])[order]
+            seen = np.zeros(1 << BITS, bool)
+            seen[(key >> np.uint64(64 - BITS)).astype(np.int64)] = True
+            self.index[q] = (key[order], item, place, seen)
+        # items of as many 64-bit words: for each, which of its characters are which
+        self.words = (self.m + 63) // 64
+        self.slot = np.zeros(len(own), np.int64)
+        self.bits = {}
+        for w in np.unique(self.words).tolist():
+            who = np.flatnonzero(self.words == w)
+            self.slot[who] = np.arange(len(who))
+            bits = np.zeros((w, len(who), len(used) + 1), np.uint64)
+            for s, i in enumerate(who):
+                at = np.arange(len(own[i]))
+                np.bitwise_or.at(bits, (at >> 6, s, self.code[own[i]]), np.uint64(1) << (at & 63).astype(np.uint64))
+            self.bits[w] = bits.reshape(w, -1)
+
+    def bands(self, c: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (item, row, place where the band begins) of the stretches in the characters of rows."""
+        out = [np.zeros((3, 0), np.int64)]
+        for q, h in grams(c, set(self.index)):
+            key, item, place, seen = self.index[q]
+            at = np.flatnonzero(seen[(h >> np.uint64(64 - BITS)).astype(np.int64)])
+            lo, hi = np.searchsorted(key, h[at]), np.searchsorted(key, h[at], "right")
+            hit = C.spread(lo, hi - lo)
+            p = np.repeat(at, hi - lo)
+            row = np.searchsorted(start, p, "right") - 1
+            i = item[hit]
+            begin = (p - place[hit] - start[row]) // self.band[i]  # counted from the row's begin, may be negative
+            most = int(begin.max(initial=0)) + int(self.m.max()) + 2
+            code = np.unique((i * len(start) + row) * (2 * most) + begin + most)
+            i, row = np.divmod(code // (2 * most), len(start))
+            out.append(np.stack([i, row, (code % (2 * most) - most) * self.band[i] + start[row]]))
+        return tuple(np.concatenate(out, axis=1))
+
+    def distances(self, c: np.ndarray, start: np.ndarray, item: np.ndarray, row: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Least edit distance of each item to any part of the row that begins in the band."""
+        out = np.empty(len(item), np.int64)
+        code = self.code[c]
+        lo = np.maximum(begin - self.k[item], start[row])
+        hi = np.minimum(begin + self.band[item] + self.m[item] + self.k[item], start[row + 1] - 1)
+        order = np.lexsort((hi - lo, self.words[item]))
+        ends = np.flatnonzero(np.diff(self.words[item][order])) + 1
+        for some in np.split(order, ends):
+            for part in np.array_split(some, -(-int((hi - lo)[some].sum()) // AT_ONCE) or 1) if len(some) else []:
+                if len(part):
+                    out[part] = self._distances(code, item[part], lo[part], hi[part])
+        return out
+
+    def _distances(self, code: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Bit-parallel, one step for a character of all the stretches of text."""
+        one, w = np.uint64(1), int(self.words[item[0]])
+        bits = self.bits[w]
+        alphabet = bits.shape[1] // int((self.words == w).sum())
+        base = self.slot[item] * alphabet
+        last = ((self.m[item] - 1) & 63).astype(np.uint64)
+        score = self.m[item].copy()
+        best = score.copy()
+        pv = [np.full(len(item), ~np.uint64(0)) for _ in range(w)]
+        mv = [np.zeros(len(item), np.uint64) for _ in range(w)]
+        end = len(code) - 1
+        for t in range(int((hi - lo).max())):
+            at = lo + t
+            sym = base + np.where(at < hi, code[np.minimum(at, end)], 0)  # after its end a text has a character that no item has
+            up = down = np.zeros(len(item), np.uint64)  # a part may begin anywhere: the first row stays 0
+            for b in range(w):
+                eq = bits[b][sym]
+                xv = eq | mv[b]
+                eq |= down
+                xh = (((eq & pv[b]) + pv[b]) ^ pv[b]) | eq
+                ph = mv[b] | ~(xh | pv[b])
+                mh = pv[b] & xh
+                if b == w - 1:
+                    score += ((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64)
+                ph, mh, up, down = (ph << one) | up, (mh << one) | down, ph >> np.uint64(63), mh >> np.uint64(63)
+                pv[b] = mh | ~(xv | ph)
+                mv[b] = ph & xv
+            np.minimum(best, score, out=best)
+        return best
+
+    def finds(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, item (its index) and distance for what the texts (in normal form) hold."""
+        c = characters("\n".join(texts) + "\n")  # no text in normal form has a line break
+        start = np.cumsum([0] + [len(t) + 1 for t in texts])
+        item, row, begin = self.bands(c, start)
+        d = self.distances(c, start, item, row, begin)
+        held = d <= self.k[item]
+        return row[held], item[held], d[held]
 
 
 def best_distance(item: str, window: str) -> int:
@@ -154,55 +215,19 @@ def best_distance(item: str, window: str) -> int:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
     """``doc_id, dk, item_id, distance`` for each document and item that it holds."""
-    spark = docs.sparkSession
     items = [(r[0], r[1]) for r in C.pick(benchmark, "item_id", "text").dropDuplicates().collect()]  # a benchmark is small: it is read whole by those who run it
-    pairs, keys, ids, places, longest = item_keys(items)
-    held = spark.sparkContext.broadcast((_bitmap(pairs, PAIR_BITS), _bitmap(keys, KEY_BITS), longest))
+    held = docs.sparkSession.sparkContext.broadcast(Items(items, max_edits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair_map, key_map, longest = held.value
         for batch in batches:
-            for part, text in C.chunks(batch, "text"):
-                flat, h, off = symbols(text)
-                if len(h) < 3 or not longest:
-                    continue
-                p = opening(h)
-                row = C.row_of(off)
-                start = np.flatnonzero(_in(pair_map, p, PAIR_BITS) & (row[:-2] == row[2:]))
-                if not len(start):
-                    continue
-                made = walk_keys(h, start, off[1:][row[start]], p[start]).reshape(-1, len(start))
-                hit = _in(key_map, made, KEY_BITS)
-                some = np.flatnonzero(hit.any(axis=0))
-                if not len(some):
-                    continue
-                hit, made, start = hit[:, some], made[:, some], start[some]
-                lo = np.maximum(start - OFFSETS - SLACK, off[:-1][row[start]])
-                hi = np.minimum(start + longest + SLACK, off[1:][row[start]])
-                words = flat.take(pa.array(C.spread(lo, hi - lo))).cast(pa.string())
-                ends = np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32)
-                windows = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), " ")
-                owner = np.nonzero(hit.T)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(hit.sum(axis=0))]).astype(np.int32)), pa.array(made.T[owner].view(np.int64)))
-                idx = pa.array(row[start])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(idx), part.column(1).take(idx), pa.array(start - off[:-1][row[start]]), lists, windows], ["doc_id", "dk", "start", "keys", "window"])
+            for part, text in C.chunks(batch, "text", 1 << 20):
+                row, item, d = held.value.finds(normal(text).to_pylist())
+                idx = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(idx), part.column(1).take(idx), pa.array([held.value.ids[i] for i in item], pa.int64()), pa.array(d)], ["doc_id", "dk", "item_id", "distance"])
 
     slim = C.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("dk"), "text")
-    found = slim.mapInArrow(run, "doc_id long, dk long, start long, keys array<long>, window string")
-    index = spark.createDataFrame(pa.table({"key": pa.array(keys.view(np.int64)), "item_id": pa.array(ids), "place": pa.array(places)})) if len(keys) else spark.createDataFrame([], "key long, item_id long, place long")
-    pairs_ = found.select("doc_id", "dk", "start", "window", F.explode("keys").alias("key")).join(index.distinct(), "key")
-    once = pairs_.groupBy("doc_id", "dk", "item_id", (F.col("start") - F.col("place")).alias("begin")).agg(F.min("window").alias("window"))
-    texts = spark.createDataFrame([(i, " ".join((t or "").lower().split())) for i, t in items], "item_id long, item string")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = [best_distance(i, w) if i else 1 << 30 for i, w in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            ok = [x <= max_edits * len(i) for x, i in zip(d, batch.column(3).to_pylist())]
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).filter(keep) for k in range(3)], pa.array(d, pa.int64()).filter(keep)], ["doc_id", "dk", "item_id", "distance"])
-
-    checked = once.join(texts, "item_id").select("doc_id", "dk", "item_id", "item", "window").mapInArrow(verify, "doc_id long, dk long, item_id long, distance long")
-    return checked.groupBy("doc_id", "dk", "item_id").agg(F.min("distance").alias("distance"))
+    found = slim.mapInArrow(run, "doc_id long, dk long, item_id long, distance long")
+    return found.groupBy("doc_id", "dk", "item_id").agg(F.min("distance").alias("distance"))
 
 
 def filter_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

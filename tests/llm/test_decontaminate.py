@@ -53,3 +53,36 @@ def test_filter_and_empty(spark, table):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
     assert D.filter_contaminated(docs, bench.limit(0)).count() == 3
     assert D.contaminated(table([]), bench).count() == 0
+
+
+def held(spark, table, items, docs):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["distance"] for r in D.contaminated(table(docs), bench).collect()}
+
+
+def test_edits_anywhere_against_brute_force(spark, table, rng):
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(600)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(6, 25)))) for i in range(30)]
+    docs = []
+    for d in range(150):
+        own = list(items[d % 30][1])
+        for _ in range(rng.randint(0, len(own) // 5)):  # up to the limit, at any place
+            i, kind = rng.randrange(len(own)), rng.randrange(3)
+            own[i : i + (kind > 0)] = "" if kind == 1 else rng.choice("abcdefghij")
+        docs.append((d, " ".join([*rng.choices(vocab, k=5), "".join(own), *rng.choices(vocab, k=5)])))
+    got = held(spark, table, items, docs)
+    near = {(d, i): plain_distance(t, " ".join(x.split())) for d, x in docs for i, t in items if i == d % 30 or (d, i) in got}
+    truth = {k: v for k, v in near.items() if v <= 0.2 * len(items[k[1]][1])}
+    assert set(got) <= set(truth) and all(truth[k] == v for k, v in got.items())
+    assert len(truth) >= 140 and len(got) >= 0.98 * len(truth)
+
+
+def test_typos_in_opening_words_lost_openings_and_short_items(spark, table, rng):
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(80)]
+    typos = [w[:3] + "z" + w[4:] if i in (2, 5, 8, 11) else w for i, w in enumerate(words[:20])]
+    items = [(1, " ".join(words[:20])), (2, " ".join(words)), (3, "zebra crossing"), (4, "q")]
+    docs = [(1, " ".join(typos)), (2, "x y " + " ".join(words[12:])), (3, "the Zebra\n crosing ahead"), (4, "a q"), (5, "nothing of it")]
+    got = held(spark, table, items, docs)
+    assert sorted(got) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    texts = {d: " ".join(x.lower().split()) for d, x in docs}
+    assert all(plain_distance(dict(items)[i], texts[d]) == n for (d, i), n in got.items())
