@@ -2,8 +2,8 @@
 
 A line goes if an earlier line, in the order of doc_id and place, is equal to it
 or within one edit of it (a character inserted, lost or replaced).  Lines are
-judged on the input, not on what is left.  Lines under MIN_CHARS characters, or
-without a word, stay.
+judged on the input, not on what is left.  Lines without a word stay; all others
+are judged, however short.
 
 Equal lines are classes with one earliest line.  Within one edit, lines are found
 by variants emitted as hashed keys and joined where equal, coarse to fine:
@@ -30,6 +30,7 @@ empty result; other columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import rolling
 
+#: The operator and the pipeline judge lines of any length (least=1); this is only the helpers' default.
 MIN_CHARS = 16
 HALVES, FINE = 2, 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -83,14 +85,14 @@ class Lines:
         return ((self.p[lo] - self.p[start]) + (self.p[end] - self.p[hi]) * inv[hi - lo]) * inv[start]
 
 
-def _split(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def _split(text: pa.Array, least: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Lines long enough to be judged, their rows, places in the row, and the rows' line counts."""
     parts = pc.split_pattern(text, "\n")
     flat, off = parts.flatten(), np.asarray(parts.offsets, np.int64)
     off = off - off[0]
     row = C.row_of(off)
     place = np.arange(len(flat)) - off[:-1][row]
-    use = (np.asarray(pc.utf8_length(flat)) >= MIN_CHARS) & (np.asarray(pc.binary_length(pc.ascii_trim_whitespace(flat))) > 0)
+    use = (np.asarray(pc.utf8_length(flat)) >= least) & (np.asarray(pc.binary_length(pc.ascii_trim_whitespace(flat))) > 0)
     return flat.filter(pa.array(use)).cast(pa.large_string()), row[use], place[use], np.diff(off)
 
 
@@ -99,11 +101,11 @@ def _roles(n: np.ndarray) -> np.ndarray:
     return np.stack([n, n - 1], axis=1)
 
 
-def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _coarse(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Every judged line: document, place, class, and keys of the line without a half."""
     for batch in batches:
         for part, text in C.chunks(batch, "text"):
-            lines, row, place, _ = _split(text)
+            lines, row, place, _ = _split(text, least)
             x = Lines(lines)
             at = np.arange(len(lines))
             h, g = x.whole(at)
@@ -113,11 +115,11 @@ def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(idx), part.column(1).take(idx), pa.array(place), pa.array(h), pa.array(g), lists], ["doc_id", "dk", "no", "h", "g", "keys"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """The named lines' texts (columns dk, text, nos)."""
     for batch in batches:
         for part, text in C.chunks(batch, "text"):
-            lines, row, place, _ = _split(text)
+            lines, row, place, _ = _split(text, least)
             wanted = [set(x) for x in part.column(2).to_pylist()]
             use = np.array([p in wanted[r] for r, p in zip(row.tolist(), place.tolist())], bool)
             lines = lines.filter(pa.array(use))
@@ -161,10 +163,10 @@ def _chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(idx), part.column(1).take(idx), pa.array(np.concatenate([h1, o1])), pa.array(np.concatenate([h2, o2])), pa.array(place), pa.array(role)], ["h", "g", "k1", "k2", "place", "role"])
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
+def duplicate_lines(docs: DataFrame, least_chars: int = MIN_CHARS) -> DataFrame:
     """``dk, nos``: for each document key, the places of its lines that go."""
     base = C.pick(docs, "doc_id", "text").where("text IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("dk"), "text")
-    found = base.mapInArrow(_coarse, "doc_id long, dk long, no long, h long, g long, keys array<long>")
+    found = base.mapInArrow(partial(_coarse, least=least_chars), "doc_id long, dk long, no long, h long, g long, keys array<long>")
     lines = C.written(found, "lines")
     spot = F.struct("doc_id", "dk", "no")
     classes = C.written(lines.groupBy("h", "g").agg(F.min(spot).alias("first")), "line-classes")
@@ -173,7 +175,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     shared = C.written(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"), "line-keys")
     found = keyed.join(shared, "key", "left_semi").select("h", "g").distinct()
     some = found.join(classes, ["h", "g"]).select("first.dk", "first.no").groupBy("dk").agg(F.collect_set("no").alias("nos"))
-    texts = C.written(base.join(some, "dk").select("dk", "text", "nos").mapInArrow(_texts, "h long, g long, line string").dropDuplicates(["h", "g"]), "line-texts")
+    texts = C.written(base.join(some, "dk").select("dk", "text", "nos").mapInArrow(partial(_texts, least=least_chars), "h long, g long, line string").dropDuplicates(["h", "g"]), "line-texts")
     # 2: sixteenths
     fine = texts.mapInArrow(_fine, "h long, g long, key long, longer int, q int")
     shared = fine.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
@@ -191,9 +193,9 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     return judged.groupBy("dk").agg(F.collect_set("no").alias("nos"))
 
 
-def _without(docs: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, least_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with ``__lines``, ``__nos`` and the remaining text as ``__rest``."""
-    gone = duplicate_lines(docs).withColumnRenamed("dk", "__dk").withColumnRenamed("nos", "__nos")
+    gone = duplicate_lines(docs, least_chars).withColumnRenamed("dk", "__dk").withColumnRenamed("nos", "__nos")
     keyed = docs.withColumn("__dk", F.xxhash64("doc_id", "text"))
     cut = keyed.join(gone, "__dk", "left").withColumn("__lines", F.split("text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("__lines").cast("long") - 1), F.col("__nos"))
@@ -203,7 +205,7 @@ def _without(docs: DataFrame) -> DataFrame:
 
 def filter_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text`` and ``n_chars`` counted anew; texts left without a line go."""
-    cut = _without(docs).where(F.col("__nos").isNull() | (F.size("__nos") < F.size("__lines")))
+    cut = _without(docs, 1).where(F.col("__nos").isNull() | (F.size("__nos") < F.size("__lines")))
     cols = [F.col("__rest").alias("text") if c == "text" else F.length("__rest").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return cut.select(*cols)
 
@@ -212,4 +214,4 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_lines, n_removed, text`` (what is left) for each document."""
     docs = C.documents(spark, sf_dir).select("doc_id", "text")
     lines, gone = F.coalesce(F.size("__lines"), F.lit(0)), F.coalesce(F.size("__nos"), F.lit(0))
-    return _without(docs).select("doc_id", F.greatest(lines, F.lit(0)).cast("long").alias("n_lines"), F.greatest(gone, F.lit(0)).cast("long").alias("n_removed"), F.col("__rest").alias("text"))
+    return _without(docs, 1).select("doc_id", F.greatest(lines, F.lit(0)).cast("long").alias("n_lines"), F.greatest(gone, F.lit(0)).cast("long").alias("n_removed"), F.col("__rest").alias("text"))

@@ -45,3 +45,15 @@ def test_filter_keeps_columns_and_counts(table):
     assert sorted(out) == [1, 3, 4, 5] and out[3]["text"] == "kept line of three" and out[3]["n_chars"] == 18
     assert lines.filter_lines(docs).columns == docs.columns
     assert lines.filter_lines(table([])).count() == 0
+
+
+def test_short_lines_against_brute_force(table, rng, tmp_path, spark):
+    docs = [(d, "\n".join("".join(rng.choices("abcé ", k=rng.randint(0, 18))) for _ in range(rng.randint(1, 5)))) for d in range(80)]
+    docs += [(200, "short\nshort\nshore"), (201, "{"), (202, "}"), (203, "0123456789abcdef\n0123456789abcde"), (204, ""), (205, None)]
+    spots = [((d, i), x) for d, t in docs if t is not None for i, x in enumerate(t.split("\n")) if x.strip(" \t\r\f\v")]
+    gone = {k for k, x in spots if any(o < k and within(x, y) for o, y in spots)}
+    want = {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in docs}
+    table(docs).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["text"] for r in lines.op4_line_dedup(spark, str(tmp_path)).collect()} == want
+    left = {r["doc_id"]: r["text"] for r in lines.filter_lines(table(docs)).collect()}
+    assert left == {d: t for d, t in want.items() if t or (d, 0) not in gone}
