@@ -3,13 +3,18 @@
 Each template is a short sequence of words.  The hash of every pair of
 neighbouring words of every text is joined, in Spark, to the template positions
 with the same hash (a table of fixed size, hence a broadcast).  A match at text
-position p and template position t votes for the diagonal p - t.  Votes are
-aggregated by diagonal, neighbouring diagonals (an inserted or lost word moves
-the diagonal by one) are merged into spans, and a span is verified by the share
-of the template's pairs that it holds in order.
+position p and template position t votes for the diagonal p - t.
 
-The phrases of the base labels are templates too; their spans must hold every
-pair on one diagonal, which means that the words stand consecutively.
+The phrases of the base labels are templates whose spans hold every pair on one
+diagonal, which means that the words stand consecutively.
+
+Notices may have edits.  Their votes are dealt to overlapping blocks of the text,
+each longer than any span, so that a group of votes is bounded by the template
+and not by the text; they are aggregated by diagonal, and blocks with too few
+votes go.  Neighbouring diagonals (an inserted or lost word moves the diagonal by
+one) are merged: DRIFT + 1 of them make a band.  A band's span is verified on the
+template's places: the longest chain of matches whose text positions and template
+places both increase must hold SHARE of the template's pairs, each place once.
 
 Defined cases: a null text counts as empty; without words or matches the label
 strings are '' and the score is 0; rows are told apart by their place in the
@@ -19,11 +24,12 @@ gives an empty result; other columns are never looked at.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -55,11 +61,12 @@ NOTICES = [
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved"),
+    ("lgpl", "gnu lesser general public license"),
+    ("lgpl", "gnu library general public license"),
+    ("agpl", "gnu affero general public license"),
 ]
-#: Words that are common everywhere; a notice's pair of two of them is no evidence and is not indexed.
-COMMON = set("a an and any are at by for in is it of on or the this that to with you be as not under".split())
-#: Diagonals this far apart at most belong to one span.
-NEIGHBOUR = 2
+#: Diagonals of one span are this far apart at most.
+DRIFT = 4
 #: Share of a notice's pairs that a span must hold.
 SHARE = 0.85
 
@@ -92,22 +99,51 @@ def template_index(templates: list[tuple[str, str, bool]]) -> tuple[list[tuple],
     """Rows (hash, template, place) of the index, and rows (template, label, is_base, pairs)."""
     index, heads = [(0, -1, 0), (1, -2, 0)], []
     for k, (label, phrase, base) in enumerate(templates):
-        words = phrase.split()
         h, _ = word_hashes(pa.array([phrase], pa.large_string()))
-        rows = [(int(g), k, i) for i, g in enumerate(pair_hashes(h)) if base or not {words[i], words[i + 1]} <= COMMON]
-        index += rows
-        heads.append((k, label, base, len(rows)))
+        index += [(int(g), k, i) for i, g in enumerate(pair_hashes(h))]
+        heads.append((k, label, base, len(h) - 1))
     return index, heads
 
 
-def spans(docs: DataFrame, templates: list[tuple[str, str, bool]] | None = None) -> DataFrame:
-    """Verified spans and word counts: ``rid, template, label, is_base, first, last, share, places``.
+def needed(pairs: int) -> int:
+    """Pairs that a verified span of a notice holds at least."""
+    return -int(-pairs * round(100 * SHARE) // 100)
+
+
+def longest_chain(votes: list[tuple[int, int]]) -> int:
+    """The longest chain of votes (text position, template place), both increasing, within a band of diagonals."""
+    best = 0
+    for first in sorted({p - t for p, t in votes}):
+        band = sorted((p, -t) for p, t in votes if first <= p - t <= first + DRIFT)  # of one position, only one place can be taken
+        if len(band) > best:
+            ends: list[int] = []
+            for _, t in band:
+                at = bisect_left(ends, -t)
+                ends[at : at + 1] = [-t]
+            best = max(best, len(ends))
+    return best
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (rid, template, pairs, diagonals: each with its positions) with a span, and the span's share."""
+    for batch in batches:
+        rid, template, share = [], [], []
+        for r in batch.to_pylist():
+            held = longest_chain([(p, p - d["diagonal"]) for d in r["diagonals"] for p in d["positions"]])
+            if held >= needed(r["pairs"]):
+                rid.append(r["rid"])
+                template.append(r["template"])
+                share.append(held / r["pairs"])
+        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(template, pa.int32()), pa.array(share, pa.float64())], ["rid", "template", "share"])
 
-    Each input row also has a row with template -1 whose ``first`` is its number
-    of words, and one with template -2 whose ``first`` is its doc_id.
+
+def votes(docs: DataFrame, templates: list[tuple[str, str, bool]]) -> tuple[DataFrame, DataFrame]:
+    """``rid, template, pos, place`` of all matches, and the facts of the templates.
+
+    Each input row also has a row with template -1 whose ``pos`` is its number
+    of words, and one with template -2 whose ``pos`` is its doc_id.
     """
     spark = docs.sparkSession
-    templates = templates or [(*b, True) for b in BASE] + [(*n, False) for n in NOTICES]
     index, heads = template_index(templates)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,28 +161,36 @@ def spans(docs: DataFrame, templates: list[tuple[str, str, bool]] | None = None)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text")).mapInArrow(grams, "rid long, pos long, hash long")
     places = spark.createDataFrame(index, "hash long, template int, place int")
     facts = spark.createDataFrame(heads, "template int, label string, is_base boolean, pairs int")
-    votes = rows.join(F.broadcast(places), "hash").select("rid", "template", (F.col("pos") - F.col("place")).alias("diagonal"), "pos")
-    by_diagonal = votes.repartition("rid").groupBy("rid", "template", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    along = Window.partitionBy("rid", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEIGHBOUR, F.lit(True)) | F.col("is_base") | F.col("is_base").isNull()
-    merged = (
-        by_diagonal.join(F.broadcast(facts), "template", "left")
-        .withColumn("island", F.sum(apart.cast("int")).over(along))
-        .groupBy("rid", "template", "label", "is_base", "pairs", "island")
-        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("diagonal").alias("diagonal"))
-    )
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("pairs"))
-    tight = F.col("hi") - F.col("lo") <= 2 * F.col("pairs") + 8
-    return merged.withColumn("share", share).where(F.col("label").isNull() | F.when(F.col("is_base"), F.col("votes") == F.col("pairs")).otherwise(tight & (F.col("share") >= SHARE)))
-
-
-def scan(docs: DataFrame) -> DataFrame:
+    return C.written(rows.join(F.broadcast(places), "hash").select("rid", "template", "pos", "place"), "votes"), facts
+
+
+def spans(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """Verified spans ``rid, template, label, is_base, diagonal, share``; only base phrases have a diagonal."""
+    diagonal = F.col("pos") - F.col("place")
+    base = found.join(F.broadcast(facts.where("is_base")), "template").groupBy("rid", "template", "label", "pairs", diagonal.alias("diagonal")).agg(F.count("*").alias("n")).where("n = pairs")
+    base = base.select("rid", "template", "label", F.lit(True).alias("is_base"), "diagonal", F.lit(1.0).alias("share"))
+    # a span covers pairs + DRIFT text positions at most, and so lies in one of two blocks of twice that length
+    half = F.col("pairs") + DRIFT
+    blocks = F.explode(F.array(F.floor(F.col("pos") / half), F.floor(F.col("pos") / half) - 1)).alias("block")
+    least = facts.where("NOT is_base").withColumn("least", F.ceil(F.col("pairs") * round(100 * SHARE) / 100))
+    dealt = found.join(F.broadcast(least), "template").select("rid", "template", "pairs", "least", "pos", diagonal.alias("diagonal"), blocks)
+    by_diagonal = dealt.groupBy("rid", "template", "pairs", "least", "block", "diagonal").agg(F.collect_list("pos").alias("positions"))
+    by_block = by_diagonal.groupBy("rid", "template", "pairs", "least", "block").agg(F.sum(F.size("positions")).alias("n"), F.collect_list(F.struct("diagonal", "positions")).alias("diagonals")).where("n >= least")
+    held = by_block.select("rid", "template", "pairs", "diagonals").mapInArrow(_verify, "rid long, template int, share double").groupBy("rid", "template").agg(F.max("share").alias("share"))
+    notices = held.join(F.broadcast(facts), "template").select("rid", "template", "label", "is_base", F.lit(None).cast("long").alias("diagonal"), "share")
+    return base.unionByName(notices)
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str, bool]] | None = None) -> DataFrame:
     """One row per row of ``docs``: word count, places of the base phrases, labels, score."""
-    found = spans(docs)
+    found, facts = votes(docs, templates or [(*b, True) for b in BASE] + [(*n, False) for n in NOTICES])
+    none = F.lit(None)
+    heads = found.where("template < 0").select("rid", "template", none.cast("string").alias("label"), none.cast("boolean").alias("is_base"), F.col("pos").alias("diagonal"), none.cast("double").alias("share"))
     base = F.col("is_base")
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     return (
-        found.groupBy("rid")
+        heads.unionByName(spans(found.where("template >= 0"), facts))
+        .groupBy("rid")
         .agg(
             F.max(F.when(F.col("template") == -2, F.col("diagonal"))).alias("doc_id"),
             F.max(F.when(F.col("template") == -1, F.col("diagonal"))).alias("n_words"),
