@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a worker turns into numpy arrays at once.
 CHUNK_BYTES = 2 << 20
 
+#: Ids (8 bytes each) that are broadcast at most.
+SENT = 1 << 21
+
 _runs: dict[str, str] = {}
 _tables: list[str] = []
 
@@ -78,6 +81,14 @@ def forget(df: DataFrame) -> None:
     _remove(df.sparkSession, df.quern_path)
 
 
+def only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The ``rows`` whose ``column`` is among ``ids`` (a written table of that column alone, distinct).
+
+    Up to SENT ids, counted here, go to all executors; more are joined by a shuffle.
+    """
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT else ids, column, "left_semi")
+
+
 def tidy(spark: SparkSession) -> None:
     """Delete all tables made by :func:`written` so far.
 
@@ -97,6 +108,16 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+def by_place(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ... and the new name of each column (the first of those that share a name).
+
+    Names that an operator adds can then clash with none of the caller's;
+    ``toDF(*docs.columns)`` brings the old names back.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(reversed(list(zip(docs.columns, names))))
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of ``batch`` with at most ``limit`` bytes of text (or one longer row), nulls as ''."""
     n = batch.num_rows

@@ -14,8 +14,9 @@ by variants emitted as hashed keys and joined where equal, coarse to fine:
 3. for what is left, each line with one character of that sixteenth deleted.
    Two lines with the same rest after losing the character at the same place
    differ by a replacement; a line that equals another's rest differs by an
-   insertion.  Keys are two independent 64-bit hashes, the place belongs to the
-   key, and so equal keys are pairs of edit distance one.
+   insertion.  Keys are two independent 64-bit hashes, and the place belongs to
+   the key.  Each line's edit distance to its earliest partner is verified on the
+   lines themselves.
 
 Because equal keys of one kind are all partners of each other, the smallest line
 of a key decides for all of them: groups are aggregated, never paired.
@@ -24,7 +25,7 @@ Defined cases: a null text is left as it is and has no lines; an empty text has
 one empty line; rows that repeat id and text are one document and keep or lose
 lines together; null ids sort first; a text that loses all its lines becomes ''
 in the report and its row leaves the filtered table; an empty table gives an
-empty result; other columns pass through.
+empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -165,11 +166,11 @@ def _chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicate_lines(docs: DataFrame, least_chars: int = MIN_CHARS) -> DataFrame:
     """``dk, nos``: for each document key, the places of its lines that go."""
-    base = C.pick(docs, "doc_id", "text").where("text IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("dk"), "text")
+    base = C.pick(docs, "doc_id", "text").where("text IS NOT NULL").select(F.col("doc_id").cast("long"), _key("doc_id", "text").alias("dk"), "text")
     found = base.mapInArrow(partial(_coarse, least=least_chars), "doc_id long, dk long, no long, h long, g long, keys array<long>")
     lines = C.written(found, "lines")
     spot = F.struct("doc_id", "dk", "no")
-    classes = C.written(lines.groupBy("h", "g").agg(F.min(spot).alias("first")), "line-classes")
+    classes = C.written(lines.groupBy("h", "g").agg(F.min(spot).alias("first"), F.count("*").alias("k")), "line-classes")
     # 1: halves. A key is shared if two different lines have it; copies of one line do not count.
     keyed = lines.select("h", "g", F.explode("keys").alias("key"))
     shared = C.written(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"), "line-keys")
@@ -183,35 +184,47 @@ def duplicate_lines(docs: DataFrame, least_chars: int = MIN_CHARS) -> DataFrame:
     # 3: characters
     chars = texts.join(left, ["h", "g"]).select("h", "g", "line", "blocks").mapInArrow(_chars, "h long, g long, k1 long, k2 long, place long, role long")
     chars = C.written(chars.join(classes, ["h", "g"]), "line-variants")
-    least = chars.groupBy("k1", "k2", "place").agg(F.min(F.when(F.col("role") == 0, F.col("first"))).alias("short"), F.min(F.when(F.col("role") == 1, F.col("first"))).alias("long"))
+    who = F.struct("first", "h", "g")
+    least = chars.groupBy("k1", "k2", "place").agg(F.min(F.when(F.col("role") == 0, who)).alias("short"), F.min(F.when(F.col("role") == 1, who)).alias("long"))
     least = least.where("place >= 0 OR (short IS NOT NULL AND long IS NOT NULL)")
     partner = F.when(F.col("place") >= 0, F.col("short")).when(F.col("role") == 0, F.col("long")).otherwise(F.col("short"))
-    near = chars.join(least, ["k1", "k2", "place"]).where(partner < F.col("first")).select("h", "g").distinct().withColumn("near", F.lit(True))
-    gone = classes.join(near, ["h", "g"], "left")
-    # all lines but the first of each class, and all lines of a class with an earlier neighbour
+    near = chars.join(least, ["k1", "k2", "place"]).select("h", "g", "first", partner.alias("partner")).where("partner.first < first")
+    # the earliest partner of each line; its distance is verified on the lines themselves
+    near = C.written(near.groupBy("h", "g").agg(F.min("partner").alias("p")).select("h", "g", F.col("p.h").alias("ph"), F.col("p.g").alias("pg")), "line-partners")
+    with_text = near.join(texts, ["h", "g"]).join(texts.toDF("ph", "pg", "other"), ["ph", "pg"])
+    near = with_text.where(F.levenshtein("line", "other", 1).between(0, 1)).select("h", "g", F.lit(True).alias("near"))
+    # all lines but the first of each class, and all lines of a class with an earlier neighbour; written, so that
+    # the join below has a plain exchange on either side and Spark can split a hot line's rows
+    gone = C.written(classes.join(near, ["h", "g"], "left").where("k > 1 OR near"), "lines-gone")
     judged = lines.select("h", "g", "doc_id", "dk", "no").join(gone, ["h", "g"]).where((spot != F.col("first")) | F.coalesce("near", F.lit(False)))
     return judged.groupBy("dk").agg(F.collect_set("no").alias("nos"))
 
 
-def _without(docs: DataFrame, least_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with ``__lines``, ``__nos`` and the remaining text as ``__rest``."""
-    gone = duplicate_lines(docs, least_chars).withColumnRenamed("dk", "__dk").withColumnRenamed("nos", "__nos")
-    keyed = docs.withColumn("__dk", F.xxhash64("doc_id", "text"))
-    cut = keyed.join(gone, "__dk", "left").withColumn("__lines", F.split("text", "\n", -1))
-    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("__lines").cast("long") - 1), F.col("__nos"))
-    rest = F.array_join(F.transform(left, lambda i: F.col("__lines")[i.cast("int")]), "\n")
-    return cut.withColumn("__rest", F.when(F.col("__nos").isNull() | F.col("text").isNull(), F.col("text")).otherwise(rest))
+def _key(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), text)
+
+
+def _without(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = 1) -> DataFrame:
+    """``docs`` with ``lines``, ``nos`` (places of those that go) and the remaining text as ``rest``."""
+    gone = duplicate_lines(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), least_chars)
+    cut = docs.withColumn("dk", _key(doc_id, text)).join(gone, "dk", "left").drop("dk").withColumn("lines", F.split(text, "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("lines").cast("long") - 1), F.col("nos"))
+    rest = F.array_join(F.transform(left, lambda i: F.col("lines")[i.cast("int")]), "\n")
+    return cut.withColumn("rest", F.when(F.col("nos").isNull() | F.col(text).isNull(), F.col(text)).otherwise(rest))
 
 
 def filter_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text`` and ``n_chars`` counted anew; texts left without a line go."""
-    cut = _without(docs, 1).where(F.col("__nos").isNull() | (F.size("__nos") < F.size("__lines")))
-    cols = [F.col("__rest").alias("text") if c == "text" else F.length("__rest").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return cut.select(*cols)
+    plain, at = C.by_place(docs)
+    cut = _without(plain, at["doc_id"], at["text"]).where(F.col("nos").isNull() | (F.size("nos") < F.size("lines")))
+    new = {at["text"]: F.col("rest")}
+    if "n_chars" in at:
+        new[at["n_chars"]] = F.length("rest").cast(plain.schema[at["n_chars"]].dataType)
+    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in plain.columns]).toDF(*docs.columns)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_lines, n_removed, text`` (what is left) for each document."""
     docs = C.documents(spark, sf_dir).select("doc_id", "text")
-    lines, gone = F.coalesce(F.size("__lines"), F.lit(0)), F.coalesce(F.size("__nos"), F.lit(0))
-    return _without(docs, 1).select("doc_id", F.greatest(lines, F.lit(0)).cast("long").alias("n_lines"), F.greatest(gone, F.lit(0)).cast("long").alias("n_removed"), F.col("__rest").alias("text"))
+    lines, gone = F.coalesce(F.size("lines"), F.lit(0)), F.coalesce(F.size("nos"), F.lit(0))
+    return _without(docs).select("doc_id", F.greatest(lines, F.lit(0)).cast("long").alias("n_lines"), F.greatest(gone, F.lit(0)).cast("long").alias("n_removed"), F.col("rest").alias("text"))
