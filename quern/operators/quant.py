@@ -94,42 +94,46 @@ def unpacked(numbers: Column, base: int, per: int, n: Column) -> Column:
     return F.slice(digits, 1, n)
 
 
-def gram(rows: DataFrame, x: str = "x") -> DataFrame:
-    """``i, j, value`` of X'X: each task adds up its own rows' products, one row of sums each, then they are added."""
+def gram(rows: DataFrame, x: str = "x", by: str | None = None) -> DataFrame:
+    """``i, j, value`` of X'X (of each group ``by``): each batch adds up its own rows' products, then these are added."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = None
         for b in batches:
-            if len(b):
-                m = np.stack(b[x].to_numpy())
-                acc = m.T @ m if acc is None else acc + m.T @ m
-        if acc is not None:
-            i, j = np.indices(acc.shape)
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "value": acc.ravel()})
-
-    return rows.select(x).mapInPandas(partial, "i long, j long, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
-
-
-def gptq(weights: np.ndarray, hessian: np.ndarray, sigmas: float = 3.0, levels: int = 63, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and row scales of a matrix, columns rounded one by one with their error carried forward."""
-    h = hessian.astype(np.float64).copy()
-    dead = np.diag(h) == 0
-    h[dead, dead] = 1.0
-    h[np.diag_indices_from(h)] += 0.01 * np.diag(h).mean()
-    order = np.argsort(-np.diag(h), kind="stable")
-    w = weights.astype(np.float64)[:, order].copy()
-    w[:, dead[order]] = 0
-    inverse = np.linalg.inv(h[order][:, order])
-    upper = np.linalg.cholesky(inverse).T
-    scale = np.maximum(sigmas * weights.std(axis=1, ddof=1) / levels, 1e-10).astype(np.float16).astype(np.float64)
-    scale = np.maximum(scale, 6e-8)
-    q = np.zeros_like(w)
-    for lo in range(0, w.shape[1], block):
-        hi = min(lo + block, w.shape[1])
-        errors = np.zeros((len(w), hi - lo))
-        for j in range(lo, hi):
-            q[:, j] = np.clip(np.rint(w[:, j] / scale), -levels, levels)
-            errors[:, j - lo] = (w[:, j] - q[:, j] * scale) / upper[j, j]
-            w[:, j:hi] -= errors[:, j - lo, None] * upper[j, j:hi]
-        w[:, hi:] -= errors @ upper[lo:hi, hi:]
-    return q[:, np.argsort(order)], scale
+            for key, part in b.groupby(by, dropna=False) if by else [(None, b)] if len(b) else []:
+                m = np.stack(part[x].to_numpy())
+                m = m.T @ m
+                i, j = np.indices(m.shape)
+                yield pd.DataFrame(({by: key} if by else {}) | {"i": i.ravel(), "j": j.ravel(), "value": m.ravel()})
+
+    keys = [by] if by else []
+    head = f"{by} {rows.schema[by].dataType.simpleString()}, " if by else ""
+    return rows.select(*keys, x).mapInPandas(partial, f"{head}i long, j long, value double").groupBy(*keys, "i", "j").agg(F.sum("value").alias("value"))
+
+
+class Plane:
+    """The lattice that a Gram matrix spans, for rounding rows of weights to a near point of it.
+
+    The error of codes q with scale s is ``(w - s q)' G (w - s q)`` = ``|R (w - s q)|**2``
+    with R'R = G.  R is triangular, so the last coordinate's best code depends on no
+    other, the one before it on the last, and so on: each coordinate is rounded to
+    the nearest plane, given what the later ones leave.  The heaviest coordinates
+    come last and are rounded first.  Rows do not depend on each other.
+    """
+
+    def __init__(self, gram: np.ndarray, damping: float = 0.01):
+        weight = np.diag(gram).copy()
+        weight[weight == 0] = 1.0  # an input that never occurs: any code is right
+        self.order = np.lexsort((-np.arange(len(weight)), weight))
+        full = gram + np.diag(weight - np.diag(gram) + damping * weight.mean())
+        upper = np.linalg.cholesky(full[np.ix_(self.order, self.order)]).T
+        self.pull = upper / np.diag(upper)[:, None]
+
+    def codes(self, rows: np.ndarray, scale: np.ndarray, levels: int) -> np.ndarray:
+        w = rows[:, self.order]
+        aim, q = w.copy(), np.empty_like(w)
+        for k in range(w.shape[1] - 1, -1, -1):
+            q[:, k] = np.clip(np.rint(aim[:, k] / scale), -levels, levels)
+            aim[:, :k] += np.outer(w[:, k] - scale * q[:, k], self.pull[:k, k])
+        out = np.empty_like(q)
+        out[:, self.order] = q
+        return out

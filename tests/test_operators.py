@@ -88,3 +88,29 @@ def test_plans_push_down(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     plan = T.document_offsets(docs.where("doc_id < 10"), 5)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(doc_id), LessThan(doc_id,10)]" in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_nearest_plane_against_plain_recursion():
+    from quern.operators.quant import Plane
+
+    r = np.random.default_rng(5)
+    x, w = r.standard_normal((40, 6)) * [3, 1, 0.2, 1, 0, 2], r.standard_normal((9, 6))
+    g, s = x.T @ x, np.full(9, 0.3)
+    plane = Plane(g)
+    got = plane.codes(w, s, 4)
+    diag = np.where(np.diag(g) == 0, 1.0, np.diag(g))
+    full = g + np.diag(diag - np.diag(g)) + 0.01 * diag.mean() * np.eye(6)
+    for row, q in zip(w, got):
+        left, done = list(np.argsort(-diag, kind="stable")), []
+        while left:  # the heaviest first; the others then take their best real values
+            k = left.pop(0)
+            if left:  # what the coordinates still free can make good does not count
+                rest = np.linalg.inv(full[np.ix_(left, left)])
+                eff = full - full[:, left] @ rest @ full[left, :]
+            else:
+                eff = full
+            aim = row[k] + sum(eff[k, j] / eff[k, k] * (row[j] - 0.3 * q[j]) for j in done)
+            assert q[k] == np.clip(np.rint(aim / 0.3), -4, 4)
+            done.append(k)
+    err = lambda q: np.einsum("ri,ij,rj->", w - 0.3 * q, g, w - 0.3 * q)
+    assert err(got) <= err(np.clip(np.rint(w / 0.3), -4, 4))
