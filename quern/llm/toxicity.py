@@ -8,14 +8,18 @@ window.  Everything is numpy: training by back-propagation through time on the
 driver, scoring on the executors, a batch of windows at a time.
 
 Training rows are a bounded sample (``max_positive`` and ``max_negative`` labelled
-documents of at most ``max_chars`` characters, chosen by a hash of the id) of the
-rows that the caller marks as trainable.  A toxic document's label is put on its
-worst window, found anew in each epoch; all windows of clean documents are clean.
+documents that have a text, chosen by a hash of the id, with ``max_bytes`` of text
+at most) of the rows that the caller marks as trainable; texts of any length are in
+it, whole.  A toxic document's label is put on its worst window, found anew in each
+epoch; all windows of clean documents are clean.  Each epoch scores all windows
+anew; its gradient steps see the clean windows with the highest scores and as many
+random ones.
 
 Defined cases: a null or empty text has one window without words and gets that
 window's score; rows are scored one by one, so repeated rows and null ids each
 give their own row; an empty table gives an empty result; without any labelled
-row of both kinds the score is 0 everywhere; other columns are never looked at.
+row of both kinds the score is 0 everywhere; of several texts with one id the
+smallest is trained on; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -37,7 +41,6 @@ WORD_DIM, CHAR_DIM = 6, 10
 HIDDEN = 8
 BATCH = 4096
 
-
 def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For distinct words: rows of the word table; rows of the character table, flat, with owners and sizes.
 
@@ -190,8 +193,8 @@ def _grid(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return np.where(steps < length[:, None], codes[at] if len(codes) else -1, -1).astype(np.int32)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 4, seed: int = 7, window_cap: int = 60_000) -> Network:
-    """Fit a network on texts with labels 0 and 1 (Adam, bounded number of windows)."""
+def train(texts: list[str], labels: np.ndarray, epochs: int = 4, seed: int = 7, per_toxic: int = 4) -> Network:
+    """Fit a network on texts with labels 0 and 1 (Adam); an epoch's steps see ``per_toxic`` clean windows for a toxic text, and 2000 more."""
     net, rng = Network(seed), np.random.default_rng(seed)
     codes, words, off = tokens(pa.array(texts, pa.large_string()))
     row, start, length = windows(off)
@@ -233,7 +236,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 4, seed: int = 7,
         best = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
         pos = best[positive[best]]
         neg = np.flatnonzero(~positive)
-        cap = min(len(neg), window_cap, 4 * len(pos) + 2000)
+        cap = min(len(neg), per_toxic * len(pos) + 2000)
         hard = neg[np.argsort(-rank[neg], kind="stable")[: cap // 2]]
         use = np.concatenate([pos, pos, hard, rng.choice(neg, cap - len(hard), replace=False)]) if len(neg) else pos
         rng.shuffle(use)
@@ -298,15 +301,17 @@ def fold(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % 3
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1200, max_negative: int = 2800, max_chars: int = 4000) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1200, max_negative: int = 2800, max_bytes: int = 64 << 20) -> Network | None:
     """Train on a bounded sample of the labelled rows outside the held-out fold."""
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sizes = C.pick(docs, "doc_id", "text").where("text <> ''").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes"))
     near = F.xxhash64(F.col("doc_id"), F.lit(11))
-    chosen = [ids.where(F.col("toxic") == k).orderBy(near, "doc_id").limit(most) for k, most in ((1, max_positive), (0, max_negative))]
-    picked = [tuple(r) for c in chosen for r in c.collect()]  # ids only, at most max_positive + max_negative
-    few = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
-    texts = C.pick(docs, "doc_id", "text").where(F.length("text").between(1, max_chars)).join(F.broadcast(few), "doc_id")
-    rows = sorted(texts.dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect())
+    full = ids.join(sizes, "doc_id")
+    chosen = [full.where(F.col("toxic") == k).orderBy(near, "doc_id").limit(most).collect() for k, most in ((1, max_positive), (0, max_negative))]
+    picked = [(r["doc_id"], r["toxic"]) for rows in chosen for r, total in zip(rows, np.cumsum([r["bytes"] for r in rows])) if total <= max_bytes // 2]
+    few = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")  # at most max_positive + max_negative
+    texts = C.pick(docs, "doc_id", "text").where("text <> ''").join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sorted(texts.select("doc_id", "text", "toxic").collect())
     if len({r["toxic"] for r in rows}) < 2:
         return None
     return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))

@@ -19,7 +19,8 @@ def test_gradients():
         return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
 
     g = net.gradients(net.embed(made).astype(np.float64), made, at, y)
-    for k in ("hf", "hb", "xf", "bb", "att", "vec", "out", "bias"):
+    assert len(net.p) == 12
+    for k in net.p:
         flat = net.p[k].reshape(-1)
         i = int(np.argmax(np.abs(g[k]).reshape(-1)))
         old = flat[i]
