@@ -3,31 +3,37 @@
 The probability of a token w after the words before it, h, is factored by class:
 p(w | h) = p(class(w) | h) * p(w | class(w)).
 
-* The class distribution is a softmax over sums of weights, one weight row for
-  each hashed history feature: the previous word, the two previous words
-  together, the word before the previous one (a skip), the class pair, and a bias.
 * Frequent words are classes of their own; other words share a class with the
   words that end alike (a rule on the word's own bytes, so no table is needed).
-* Within a class a word has its smoothed share of the class's training tokens.
-
-Counts cover every training document.  Training runs ROUNDS rounds of parameter
-mixing: in each, every partition starts from the current weights, makes gradient
-updates on mini-batches of its own tokens, and sends back its weight changes,
-which are summed by weight row and averaged.  Scoring works on batches of tokens
-whose few active weight rows are gathered and added.
-
-Only tables of fixed size are sent to the executors: the weights, the class
-totals and the HEAD most frequent words.  Rarer words are looked up by a
-shuffle join on the word, so that no part of the method bounds the vocabulary.
+  Within a class a word has its smoothed share of the class's training tokens.
+* The softmax over classes is factored again, along a Huffman tree of the
+  classes: each inner node is a two-way softmax.  Its log odds are those of the
+  training counts plus one weight for each history feature, hashed with the node:
+  the previous word, the two previous words together (the n-grams), and the word
+  before the previous one (the skip).  Without weights this is the unigram model.
+
+Counts cover every training document.  Weights are trained by gradient updates
+that are distributed by feature: tokens are dealt to buckets by their previous
+word (and, where that word is hot, by the one before and by the document), and
+each bucket has a weight table of its own, makes updates on mini-batches of its
+training tokens in the order of the documents' keys, and then scores all its
+tokens.  A bucket has BUCKET_TOKENS tokens on average, so tables grow in number
+with the corpus, none is broadcast or merged, and no result depends on how the
+input is partitioned.
+
+Only tables of bounded size are sent to the executors: the tree with its class
+totals, and the counts of at most HEAD frequent words.  Rarer words are looked up
+by a shuffle join on the word, so that no part of the method bounds the vocabulary.
 
 Defined cases: a null text counts as empty; an empty text has one token, the
 end; rows are told apart by id and text, so repeated rows get equal results;
-null ids are in training (their crc32 is taken of an empty text); with no
-training token at all, c = N = V = 0; other columns are never looked at.
+null ids are held out (the crc32 of an empty text is 0); with no training token
+at all, c = N = V = 0; other columns are never looked at.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -40,19 +46,18 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import rolling
 
-#: Words whose counts every executor holds.
+#: Words whose counts every executor holds, at most.
 HEAD = 1 << 17
-#: Frequent words (and the end) that are classes of their own; classes of other words.
-SINGLE, SHARED = 23, 40
-CLASSES = 1 + SINGLE + SHARED
-#: Hashed weight rows of each kind of feature.
-ROWS = 1 << 11
-KINDS = 4
-FEATURES = KINDS * ROWS + 1
-ROUNDS = 2
-BATCH = 8192
-RATE = 0.6
+#: Frequent words (and the end) that are classes of their own, at most; classes of other words.
+SINGLE, SHARED = 1 << 15, 1 << 13
+#: Tokens of a bucket on average; slots of its weight table for each kind of feature.
+BUCKET_TOKENS, BITS = 1 << 20, 21
+#: Words with more tokens than this are dealt to buckets with the word before them.
+HOT = BUCKET_TOKENS // 8
+#: First steps of the weights of each kind of feature; tokens of a mini-batch.
+RATES, BATCH = (0.4, 1.5, 0.25), 4096
 END = "\n"  # cannot be a word
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -82,13 +87,13 @@ def hashes(words: pa.Array) -> np.ndarray:
 
 
 def shared_class(words: pa.Array) -> np.ndarray:
-    """Class of words that are not classes of their own: by their last letters."""
+    """Class, from 0, of words that are not classes of their own: by their last letters."""
     bare = pc.replace_substring_regex(words, r"[[:punct:]]+$", "")
     data, off = C.buffers(bare)
     tail = np.maximum(off[1:] - 4, off[:-1])
     marks = (np.asarray(pc.binary_length(bare)) != np.asarray(pc.binary_length(words))).astype(np.uint64)
     h = C.mix(rolling.span_hash(rolling.prefix(data), tail, off[1:]) + marks)
-    return 1 + SINGLE + (h % np.uint64(SHARED)).astype(np.int64)
+    return (h % np.uint64(SHARED)).astype(np.int64)
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -104,182 +109,264 @@ def counts(docs: DataFrame) -> DataFrame:
     return C.pick(docs, "doc_id", "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+class Tree:
+    """A Huffman tree of weighted leaves: the path of each leaf, and the log odds of each inner node."""
+
+    def __init__(self, weight: np.ndarray):
+        n = len(weight)
+        total = np.concatenate([weight, np.zeros(n)])
+        parent, branch = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.float32)
+        heap = list(zip(weight.tolist(), range(n)))
+        heapq.heapify(heap)
+        top = n
+        while len(heap) > 1:
+            (x, i), (y, j) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[i] = parent[j] = top
+            branch[j], total[top] = 1, x + y
+            heapq.heappush(heap, (x + y, top))
+            top += 1
+        up = np.flatnonzero(branch)
+        ones = np.bincount(parent[up], total[up], 2 * n)[n:top]
+        self.bias = np.log(ones / (total[n:top] - ones)).astype(np.float32)
+        self.depth = np.zeros(n, np.int64)
+        steps, live, at = [], np.arange(n), np.arange(n)
+        while len(live):
+            live, at = live[at != top - 1], at[at != top - 1]
+            steps.append((live, parent[at] - n, branch[at]))
+            self.depth[live] += 1
+            at = parent[at]
+        self.start = np.concatenate([[0], np.cumsum(self.depth)])[:-1]
+        self.node, self.side = np.zeros(int(self.depth.sum()), np.int32), np.zeros(int(self.depth.sum()), np.float32)
+        for k, (leaf, node, side) in enumerate(steps):
+            self.node[self.start[leaf] + k], self.side[self.start[leaf] + k] = node, side
+
+    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Steps of each leaf's path; flat, their nodes and branches."""
+        n = self.depth[leaf]
+        at = C.spread(self.start[leaf], n)
+        return n, self.node[at], self.side[at]
+
+
+class Weights:
+    """Hashed weights of one bucket, and the sums of squared gradients that set their rates."""
+
+    def __init__(self, tree: Tree, kinds: int):
+        self.tree = tree
+        self.w = np.zeros((kinds, 1 << BITS), np.float32)
+        self.g = np.ones((kinds, 1 << BITS), np.float32)
+
+    def _logits(self, feats: np.ndarray, use: np.ndarray, leaf: np.ndarray):
+        n, node, side = self.tree.paths(leaf)
+        token = np.repeat(np.arange(len(leaf)), n)
+        mark = node.astype(np.uint64) * _A
+        z = self.tree.bias[node]
+        slots = []
+        for f, u, w in zip(feats, use, self.w):
+            at = np.flatnonzero(u[token])
+            slot = ((f[token[at]] + mark[at]) * _B >> np.uint64(64 - BITS)).astype(np.int64)
+            z[at] += w[slot]
+            slots.append((at, slot))
+        return n, side, slots, z
+
+    def update(self, feats: np.ndarray, use: np.ndarray, leaf: np.ndarray) -> None:
+        """One gradient step on a mini-batch of tokens; ``use`` tells which features count."""
+        _, side, slots, z = self._logits(feats, use, leaf)
+        d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - side
+        for w, g, (at, slot), rate in zip(self.w, self.g, slots, RATES):
+            np.add.at(g, slot, d[at] * d[at])
+            np.subtract.at(w, slot, rate * d[at] / np.sqrt(g[slot]))
+
+    def log_class(self, feats: np.ndarray, use: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """The log probability of each token's class."""
+        n, side, _, z = self._logits(feats, use, leaf)
+        each = -np.logaddexp(0, np.where(side > 0, -z, z).astype(np.float64))
+        total = np.concatenate([[0.0], np.cumsum(each)])
+        ends = np.cumsum(n)
+        return total[ends] - total[ends - n]
+
+
+def shared(feature: np.ndarray, trains: np.ndarray) -> np.ndarray:
+    """Tokens whose feature a training token has and some other token too.
+
+    A weight of any other feature is 0 or read by no token but the one that moved
+    it; without these, fewer features meet in a slot.
+    """
+    _, which, count = np.unique(feature, return_inverse=True, return_counts=True)
+    return ((np.bincount(which, trains, len(count)) > 0) & (count > 1))[which]
+
+
+def features(a: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Hashes of the features of tokens after the word a, which follows the word s."""
+    a, s = a.astype(np.uint64), s.astype(np.uint64)
+    return np.stack([C.mix(a + np.uint64(11)), C.mix((a << np.uint64(32)) + s), C.mix(s + (np.uint64(5) << np.uint64(40)))])
+
+
 class Model:
-    """Class map, class totals, weights and the head of the vocabulary."""
+    """Class map, class totals, the tree of classes, and the head of the vocabulary."""
 
     def __init__(self, head: list[tuple[str, int]], total: int, size: int):
         self.total, self.size = total, size
-        self.single = {w: 1 + i for i, (w, _) in enumerate([x for x in head if x[0] != END][:SINGLE])}
-        self.count = dict(head)
-        self.least = min(self.count.values(), default=0)
-        self.class_tokens = np.zeros(CLASSES)
-        self.class_words = np.zeros(CLASSES)
-        self.w = np.zeros((FEATURES, CLASSES), np.float32)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_lists"}
+        head = sorted(head, key=lambda x: (-x[1], x[0]))
+        self.words = pa.array([w for w, _ in head], pa.large_string())
+        self.count = np.array([c for _, c in head], np.float64)
+        self.single = min(len(head), SINGLE)
+        self.classes_in_all = self.single + SHARED
+        self.buckets = 1 + total // BUCKET_TOKENS
+        self.tree, self.within = None, np.zeros(self.classes_in_all)
+
+    def known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word is in the head, and its place there."""
+        at = pc.index_in(words, self.words)
+        return np.asarray(pc.is_valid(at)), np.asarray(pc.fill_null(at, 0)).astype(np.int64)
 
     def classes(self, words: pa.Array) -> np.ndarray:
-        """The class of each distinct token; the end is class 0."""
-        if not hasattr(self, "_lists"):
-            self._lists = pa.array(list(self.single), pa.large_string()), np.array(list(self.single.values()), np.int64)
-        out = shared_class(words)
-        at = pc.index_in(words, self._lists[0])
-        known = np.asarray(pc.is_valid(at))
-        if known.any():
-            out[known] = self._lists[1][np.asarray(at.filter(pa.array(known)))]
-        out[0] = 0
-        return out
-
-    def features(self, h: np.ndarray, cls: np.ndarray, codes: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Weight rows of each token's history, KINDS for each token."""
-        n = len(codes)
-        first = np.zeros(n, bool)
-        first[off[:-1]] = True
-        one = np.empty(n, np.uint64)  # hash and class of the previous word; 0 at a row's start
-        one[1:], one[0] = h[codes[:-1]], 0
-        one[first] = 0
-        c1 = np.empty(n, np.int64)
-        c1[1:], c1[0] = cls[codes[:-1]], 0
-        c1[first] = CLASSES
-        two = np.empty(n, np.uint64)
-        two[1:], two[0] = one[:-1], 0
-        two[first] = 0
-        c2 = np.empty(n, np.int64)
-        c2[1:], c2[0] = c1[:-1], CLASSES
-        c2[first] = CLASSES
-        m = np.uint64(ROWS)
-        return np.stack([one % m, C.mix(one * np.uint64(3) + two) % m + m, C.mix(two + np.uint64(5)) % m + 2 * m, C.mix((c1 * 1000 + c2).astype(np.uint64) + np.uint64(9)) % m + 3 * m], axis=1).astype(np.int64)
-
-    def log_class(self, feats: np.ndarray, target: np.ndarray, w: np.ndarray) -> np.ndarray:
-        s = self.logits(feats, w)
-        top = s.max(axis=1)
-        return s[np.arange(len(s)), target] - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
-
-    @staticmethod
-    def logits(feats: np.ndarray, w: np.ndarray) -> np.ndarray:
-        s = w[feats[:, 0]]
-        for k in range(1, KINDS):
-            s += w[feats[:, k]]
-        s += w[-1]
-        return s
-
-    def update(self, w: np.ndarray, feats: np.ndarray, target: np.ndarray) -> None:
-        """One gradient step on a mini-batch; each weight row moves by its mean gradient."""
-        s = self.logits(feats, w)
-        s -= s.max(axis=1, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=1, keepdims=True)
-        s[np.arange(len(s)), target] -= 1
-        for k in range(KINDS):
-            order = np.argsort((feats[:, k] - k * ROWS).astype(np.uint16), kind="stable")  # 16 bits: a radix sort
-            rows = feats[order, k]
-            at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            end = np.concatenate([at[1:], [len(rows)]]) - 1
-            total = np.cumsum(s[order], axis=0)[end]  # sums by differences of running sums
-            total[1:] -= total[:-1].copy()
-            step = RATE / KINDS / np.sqrt((end - at + 5).astype(np.float32))
-            w[rows[at]] -= step[:, None] * total
-        w[-1] -= 0.05 * s.mean(axis=0)
-
-
-def _rounds(docs: DataFrame, model: Model, rounds: int) -> None:
-    spark = docs.sparkSession
-    for k in range(rounds):
-        held = spark.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], k: int = k, held=held) -> Iterator[pa.RecordBatch]:
-            model = held.value
-            w = model.w.copy()
-            steps = 0
-            for batch in batches:
-                batch = batch.filter(pa.array(_training(batch.column(0))))
-                for i, (_, text) in enumerate(C.chunks(batch, "text", 1 << 20)):
-                    if i % rounds != k:  # each round has its own share of the rows; together they have all
-                        continue
-                    words, codes, off = token_rows(text)
-                    h, cls = hashes(words), model.classes(words)
-                    feats, target = model.features(h, cls, codes, off), cls[codes]
-                    for j in range(0, len(codes), BATCH):
-                        model.update(w, feats[j : j + BATCH], target[j : j + BATCH])
-                        steps += 1
-            if steps:
-                moved = np.flatnonzero((w != model.w).any(axis=1))
-                delta = (w[moved] - model.w[moved]) * np.float32(steps)
-                yield pa.RecordBatch.from_arrays([pa.array(moved), pa.array(np.full(len(moved), steps)), pa.FixedSizeListArray.from_arrays(pa.array(delta.ravel()), CLASSES).cast(pa.list_(pa.float32()))], ["row", "steps", "delta"])
-
-        sent = C.pick(docs, "doc_id", "text").mapInArrow(run, "row long, steps long, delta array<float>")
-
-        by_block = sent.withColumn("block", F.col("row") % 64).repartition(64, "block")
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, list] = {}
-            for t in batches:
-                delta = t.column(2).flatten().to_numpy().reshape(-1, CLASSES)
-                for row, steps, d in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), delta):
-                    have = total.setdefault(row, [np.zeros(CLASSES), 0])
-                    have[0] += d
-                    have[1] += steps
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([(x[0] / x[1]).astype(np.float32).tolist() for x in total.values()], pa.list_(pa.float32()))], ["row", "delta"])
-
-        table = by_block.mapInArrow(merge, "row long, delta array<float>").toArrow()  # at most FEATURES rows
-        if len(table):
-            flat = table.column("delta").combine_chunks().flatten().to_numpy().reshape(-1, CLASSES)
-            model.w[table.column("row").to_numpy()] += flat
-        held.destroy()
-
-
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model, and the table of all training counts."""
+        known, at = self.known(words)
+        return np.where(known & (at < self.single), at, self.single + shared_class(words))
+
+    def settle(self, tokens: np.ndarray, words: np.ndarray) -> None:
+        """Take the classes' training tokens and distinct words."""
+        self.within = np.log10(tokens + 0.1 * (words + 1))
+        self.tree = Tree(tokens + 0.5)
+
+    def hot(self, words: pa.Array) -> np.ndarray:
+        known, at = self.known(words)
+        return known & (self.count[at] > HOT) if len(self.count) else known
+
+
+def history(words: pa.Array, codes: np.ndarray, off: np.ndarray, hot: np.ndarray, docs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit hashes of the previous word and the one before (0 and 1 stand for the row's begin), and each token's bucket."""
+    h = hashes(words) >> np.uint64(32)
+    n, first = len(codes), off[:-1]
+    a, s = np.empty(n, np.uint64), np.empty(n, np.uint64)
+    a[1:], s[2:] = h[codes[:-1]], h[codes[:-2]]
+    second = first + 1
+    second = second[second < off[1:]]
+    hot_a, hot_s = np.zeros(n, bool), np.zeros(n, bool)
+    hot_a[1:], hot_s[2:] = hot[codes[:-1]], hot[codes[:-2]]
+    a[first], s[first], s[second] = 0, 0, 1
+    hot_a[first] = hot_s[first] = hot_s[second] = True
+    key = C.mix(a + np.uint64(1))
+    key = np.where(hot_a, C.mix(key * _A + s), key)
+    key = np.where(hot_a & hot_s, C.mix(key * _A + docs.view(np.uint64)[C.row_of(off)]), key)
+    return a.astype(np.uint32), s.astype(np.uint32), (key % np.uint64(buckets)).astype(np.int64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of 32-bit values, place by place, compressed."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
+
+
+def _values(data: bytes, n: int) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, n).T).view("<u4").ravel()
+
+
+def _deal(held):
+    """Tokens by bucket: documents, their numbers of tokens, whether they train, and the tokens' histories and classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        for batch in batches:
+            for part, text in C.chunks(batch, "text", 4 << 20):
+                dk, trains = part.column(0).to_numpy(), _training(part.column(1))
+                words, codes, off = token_rows(text)
+                cls = model.classes(words)
+                a, s, bucket = history(words, codes, off, model.hot(words), dk, model.buckets)
+                order = np.argsort(bucket.astype(np.uint16) if model.buckets < 1 << 16 else bucket, kind="stable")  # 16 bits: a radix sort
+                row, leaf = C.row_of(off)[order], cls[codes][order]
+                a, s, bucket = a[order], s[order], bucket[order]
+                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+                for lo, hi in zip(cut[:-1], cut[1:]):
+                    own, n = np.unique(row[lo:hi], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(bucket[lo])]), pa.array([dk[own]]), pa.array([n]), pa.array([trains[own]]), *[pa.array([_planes(x[lo:hi])], pa.binary()) for x in (a, s, leaf)]], ["bucket", "dk", "n", "trains", "a", "s", "leaf"]
+                    )
+
+    return run
+
+
+def _learn(held):
+    """For each bucket: train on its training tokens, then ``dk, lp`` of its part of each document."""
+
+    def bucket(blocks: list[tuple]) -> pa.RecordBatch:
+        dk, n, trains = (np.concatenate([b[k] for b in blocks]) for k in range(3))
+        a, s, leaf = (np.concatenate([_values(b[k], int(b[1].sum())) for b in blocks]) for k in (3, 4, 5))
+        order = np.argsort(dk, kind="stable")  # whatever the order in which the blocks came
+        token = C.spread((np.cumsum(n) - n)[order], n[order])
+        dk, n, trains = dk[order], n[order], trains[order]
+        feats, leaf = features(a[token], s[token]), leaf[token].astype(np.int64)
+        weights = Weights(held.value.tree, len(feats))
+        learns = np.repeat(trains, n)
+        use = np.stack([shared(f, learns) for f in feats])
+        own = np.flatnonzero(learns)
+        for k in range(0, len(own), BATCH):
+            at = own[k : k + BATCH]
+            weights.update(feats[:, at], use[:, at], leaf[at])
+        lp = np.concatenate([weights.log_class(feats[:, k : k + BATCH], use[:, k : k + BATCH], leaf[k : k + BATCH]) for k in range(0, len(leaf), BATCH)])
+        lp = np.add.reduceat(lp, np.cumsum(n) - n)
+        first = np.concatenate([[True], dk[1:] != dk[:-1]])  # repeated rows have equal parts
+        return pa.RecordBatch.from_arrays([pa.array(dk[first]), pa.array(lp[first] / np.log(10))], ["dk", "lp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, now = [], None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if batch.column(0)[k].as_py() != now and blocks:
+                    yield bucket(blocks)
+                    blocks = []
+                now = batch.column(0)[k].as_py()
+                blocks.append((*[batch.column(j)[k].values.to_numpy(zero_copy_only=False).copy() for j in (1, 2, 3)], *[batch.column(j)[k].as_py() for j in (4, 5, 6)]))
+        if blocks:
+            yield bucket(blocks)
+        C.give_back()
+
+    return run
+
+
+def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model without its weights, and the table of all training counts."""
     table = C.written(counts(docs), "lm-counts")
-    total, size = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = [(r[0], r[1]) for r in table.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    # as many words as fit in the head, down to some count; told by a histogram that is exact for small counts
+    step = F.when(F.col("c") < 256, F.col("c")).otherwise(F.floor(F.log2("c") * 32))
+    fits, total, size, least = True, 0, 0, None
+    for r in sorted(table.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.min("c").alias("least")).collect(), key=lambda r: -r["least"]):
+        total, size = total + r["c"], size + r["n"]
+        fits = fits and size <= HEAD
+        least = r["least"] if fits else least
+    head = [] if least is None else [(r[0], r[1]) for r in table.where(F.col("c") >= least).collect()]
     model = Model(head, total, size)
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
+        tokens, words = np.zeros(model.classes_in_all, np.int64), np.zeros(model.classes_in_all, np.int64)
         for batch in batches:
-            w = pa.concat_arrays([pa.array([END], pa.large_string()), batch.column(0).cast(pa.large_string())])
-            cls = model.classes(w)[1:]
-            cls[np.asarray(pc.equal(batch.column(0), END))] = 0
-            tokens += np.bincount(cls, batch.column(1).to_numpy(), CLASSES)
-            words += np.bincount(cls, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(tokens.astype(np.int64)), pa.array(words.astype(np.int64))], ["class", "tokens", "words"])
-
-    for r in table.mapInArrow(by_class, "class long, tokens long, words long").groupBy("class").agg(F.sum("tokens"), F.sum("words")).collect():
-        model.class_tokens[r[0]], model.class_words[r[0]] = r[1], r[2]
-    share = (model.class_tokens + 0.5) / (model.class_tokens.sum() + 0.5 * CLASSES)
-    model.w[-1] = np.log(share)
-    _rounds(docs, model, rounds)
+            cls = model.classes(batch.column(0).cast(pa.large_string()))
+            tokens += np.bincount(cls, batch.column(1).to_numpy(), len(tokens)).astype(np.int64)
+            words += np.bincount(cls, minlength=len(words))
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(tokens[some]), pa.array(words[some])], ["class", "tokens", "words"])
+
+    tokens, words = np.zeros(model.classes_in_all), np.zeros(model.classes_in_all)
+    for r in table.mapInArrow(by_class, "class long, tokens long, words long").groupBy("class").agg(F.sum("tokens"), F.sum("words")).collect():  # a row for each class
+        tokens[r[0]], words[r[0]] = r[1], r[2]
+    model.settle(tokens, words)
     return model, table
 
 
 def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
     """One row per row of ``docs`` with the base score and the model's log10 probability."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)
     log_n = float(np.log10(model.total + 0.1 * (model.size + 1)))
-    slim = C.pick(docs, "doc_id", "text")
+    slim = C.pick(docs, "doc_id", "text").select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("dk"), F.col("doc_id").cast("long"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        if not hasattr(m, "_head"):
-            m._head = pa.array(list(m.count), pa.large_string()), np.array(list(m.count.values()), np.float64)
-        within = np.log10(m.class_tokens + 0.1 * (m.class_words + 1))
         n_out = 0
         for batch in batches:
             for part, text in C.chunks(batch, "text", 2 << 20):
                 words, codes, off = token_rows(text)
-                h, cls = hashes(words), m.classes(words)
-                feats, target = m.features(h, cls, codes, off), cls[codes]
-                logp = np.concatenate([m.log_class(feats[j : j + BATCH], target[j : j + BATCH], m.w) for j in range(0, len(codes), BATCH)]) / np.log(10)
-                at = pc.index_in(words, m._head[0])
-                known = np.asarray(pc.is_valid(at))
-                c = np.zeros(len(words))
-                c[known] = m._head[1][np.asarray(at.filter(pa.array(known)))]
-                lc = np.where(known, np.log10(c + 0.1), 0.0)
-                local = lc[codes]
+                known, at = m.known(words)
+                lc = np.where(known, np.log10(m.count[at] + 0.1), 0.0) if len(m.count) else np.zeros(len(words))
+                local, within = lc[codes], m.within[m.classes(words)][codes]
                 sums = lambda x: np.add.reduceat(x, off[:-1])
                 n = np.diff(off)
                 far = ~known[codes]
@@ -291,28 +378,32 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
                 n_out += len(n)
                 null = pa.nulls(len(n), pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid), part.column(0), null, pa.array(n), pa.array(sums(known[codes].astype(np.int64))), pa.array(sums(local)), pa.array(sums(logp + local - within[target]))],
-                    ["seq", "doc_id", "word", "n", "known", "base", "model"],
+                    [pa.array(rid), part.column(0), part.column(1), null, pa.array(n), pa.array(sums(known[codes].astype(np.int64))), pa.array(sums(local)), pa.array(sums(local - within))],
+                    ["seq", "dk", "doc_id", "word", "n", "known", "base", "share"],
                 )
                 if len(pairs):
+                    none = lambda kind: pa.nulls(len(row), kind)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rid[row]), pa.nulls(len(row), pa.int64()), words.take(pa.array(word)).cast(pa.string()), pa.array(times), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.float64()), pa.nulls(len(row), pa.float64())],
-                        ["seq", "doc_id", "word", "n", "known", "base", "model"],
+                        [pa.array(rid[row]), none(pa.int64()), none(pa.int64()), words.take(pa.array(word)).cast(pa.string()), pa.array(times), none(pa.int64()), none(pa.float64()), none(pa.float64())],
+                        ["seq", "dk", "doc_id", "word", "n", "known", "base", "share"],
                     )
 
     # a row of the input is known by its partition and its place there; both sides below come from one written table
-    made = C.written(slim.mapInArrow(run, "seq long, doc_id long, word string, n long, known long, base double, model double").withColumn("task", F.spark_partition_id()), "lm-rows")
-    rare = table.where(F.col("c") <= model.least) if len(model.count) >= HEAD else table.where("false")
+    made = C.written(slim.mapInArrow(run, "seq long, dk long, doc_id long, word string, n long, known long, base double, share double").withColumn("task", F.spark_partition_id()), "lm-rows")
+    rare = table.where(F.col("c") < float(model.count.min())) if len(model.count) else table
     tail = made.where("word IS NOT NULL").join(rare, "word", "left")
     log_c = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.1) * F.col("n")
-    parts = tail.select("task", "seq", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known"), log_c.alias("base"), log_c.alias("model"), F.lit(0).alias("own"))
-    own = made.where("word IS NULL").select("task", "seq", "doc_id", "n", "known", "base", "model", F.lit(1).alias("own"))
-    return (
-        own.unionByName(parts)
-        .groupBy("task", "seq")
-        .agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("b"), F.sum("model").alias("score"))
-        .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), (F.col("b") - log_n * F.col("n_tokens")).alias("base_score"), "score")
-    )
+    none = F.lit(None).cast("long")
+    parts = tail.select("task", "seq", none.alias("dk"), none.alias("doc_id"), F.lit(0).cast("long").alias("n"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known"), log_c.alias("base"), log_c.alias("share"))
+    own = made.where("word IS NULL").select("task", "seq", "dk", "doc_id", "n", "known", "base", "share")
+    sums = own.unionByName(parts).groupBy("task", "seq").agg(F.max("dk").alias("dk"), F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n", "known", "base", "share")])
+    blocks = slim.mapInArrow(_deal(held), "bucket long, dk array<long>, n array<long>, trains array<boolean>, a binary, s binary, leaf binary")
+    learnt = blocks.repartition(model.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_learn(held), "dk long, lp double")
+    classes = C.written(learnt, "lm-classes").groupBy("dk").agg(F.sum("lp").alias("lp"))
+    return sums.join(classes, "dk").select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"),
+        (F.col("base") - log_n * F.col("n")).alias("base_score"), (F.col("share") + F.col("lp")).alias("score"),
+    )
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import lm
@@ -41,3 +43,71 @@ def test_model_beats_base_on_held_out(table, rng):
     out = [r for r in lm.score(docs, *lm.fit(docs)).collect() if r["held_out"]]
     assert out and sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
     assert lm.score(table([]), *lm.fit(table([]))).count() == 0
+
+
+def test_classes_have_probability_one_and_updates_follow_the_gradient():
+    tree = lm.Tree(np.array([5.0, 1.0, 3.0, 3.0, 9.0, 0.5]))
+    weights = lm.Weights(tree, 3)
+    a, s = np.arange(40, dtype=np.uint32) % 7, np.arange(40, dtype=np.uint32) % 5
+    feats, leaf = lm.features(a, s), np.arange(40) % 6
+    use = np.ones((3, 40), bool)
+    start = weights.log_class(feats, use, leaf)
+    share = np.array([5.0, 1.0, 3.0, 3.0, 9.0, 0.5]) / 21.5
+    assert np.allclose(np.exp(start), share[leaf], rtol=1e-5)  # without weights: the counts
+    for _ in range(5):
+        weights.update(feats, use, leaf)
+    assert weights.log_class(feats, use, leaf).sum() > start.sum()
+    for t in range(7):
+        every = np.exp(weights.log_class(np.repeat(feats[:, t : t + 1], 6, axis=1), use[:, :6], np.arange(6)))
+        assert abs(every.sum() - 1) < 1e-6
+    # the gradient of one token's loss by one weight, against a difference
+    one, at = feats[:, :1], leaf[:1]
+    _, side, slots, z = weights._logits(one, use[:, :1], at)
+    slope, k = 1 / (1 + np.exp(-z[0])) - side[0], slots[0][1][0]
+    loss = []
+    for step in (1e-2, -1e-2):
+        weights.w[0, k] += np.float32(step)
+        loss.append(-weights.log_class(one, use[:, :1], at)[0])
+        weights.w[0, k] -= np.float32(step)
+    assert abs((loss[0] - loss[1]) / 2e-2 - slope * (slots[0][1] == k).sum()) < 1e-2
+
+
+def test_paths_of_few_leaves():
+    for n in (1, 2, 3):
+        tree = lm.Tree(np.ones(n))
+        steps, node, side = tree.paths(np.arange(n))
+        assert len(node) == len(side) == steps.sum() == [0, 2, 5][n - 1]
+
+
+def test_scores_do_not_depend_on_partitions_and_hot_words_are_dealt(table, rng, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 700)
+    monkeypatch.setattr(lm, "HOT", 90)
+    vocab = [f"w{i}" for i in range(50)]
+    docs = [(i, " ".join(rng.choice(["the", "the", *vocab]) for _ in range(rng.randint(0, 60)))) for i in range(150)] + [(7, "the the w1"), (7, "the the w1"), (900, "the " * 300)]
+    got = []
+    for parts in (1, 5):
+        df = table(docs).repartition(parts, "doc_id")
+        got.append(sorted((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in lm.score(df, *lm.fit(df)).collect()))
+    assert got[0] == got[1] and len(got[0]) == len(docs)
+    words = pa.array(["\n", "the", "x"], pa.large_string())
+    codes, off = np.array([1, 1, 1, 2, 0]), np.array([0, 5])
+    of = lambda dk: lm.history(words, codes, off, np.array([False, True, False]), np.array([dk]), 1 << 30)[2]
+    assert of(1)[2] != of(2)[2] and of(1)[0] != of(2)[0] and of(1)[4] == of(2)[4]  # hot pairs go by document, others do not
+
+
+def test_model_beats_a_smoothed_bigram(spark):
+    """Interpolated with the base, at the best of several weights."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(path)
+    rows = [(r["doc_id"], tokens(r["text"])) for r in docs.collect()]
+    count, pair = Counter(x for d, t in rows if trains(d) for x in t), Counter(p for d, t in rows if trains(d) for p in zip(["", *t], t))
+    n, v = sum(count.values()), len(count)
+    base = lambda x: (count[x] + 0.1) / (n + 0.1 * (v + 1))
+    before = Counter()
+    for (x, _), c in pair.items():
+        before[x] += c
+    held = [(x, y) for d, t in rows if not trains(d) for x, y in zip(["", *t], t)]
+    plain = max(sum(math.log10((pair[p] + k * base(p[1])) / (before[p[0]] + k)) for p in held) for k in (1, 10, 100, 1000))
+    out = [r for r in lm.score(docs, *lm.fit(docs)).collect() if r["held_out"]]
+    assert sum(r["n_tokens"] for r in out) == len(held)
+    assert sum(r["score"] for r in out) > plain > sum(r["base_score"] for r in out)
