@@ -33,8 +33,8 @@ def byte_tokens(docs: DataFrame, bos: bool = True) -> DataFrame:
 
 
 def token_count(text: Column) -> Column:
-    """Byte tokens of a text with its begin mark; needs no tokens."""
-    return F.octet_length(text).cast("long") + 1
+    """Byte tokens of a text (null: none) with its begin mark; needs no tokens."""
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
 def trainer_text(docs: DataFrame, max_docs: int | None = None) -> DataFrame:
@@ -73,10 +73,26 @@ def offsets(counts: DataFrame, size: str = "n", key: str = "doc_id", group: str
     return rows.join(base, [group, "__b"]).withColumn("offset", F.col("__base") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("__b", "__base")
 
 
+def bucket_width(rows: DataFrame, key: str = "doc_id", per: int = BUCKET) -> int:
+    """Keys of a bucket that holds ``per`` rows on average, however sparse the keys are."""
+    low, high, n = rows.agg(F.min(key), F.max(key), F.count(key)).first()
+    return max(1, (high - low + 1) * per // n) if n else per
+
+
 def document_offsets(docs: DataFrame, num_val: int) -> DataFrame:
     """``doc_id, split, n, offset``: token counts and places in the split's stream."""
     counts = docs.select("doc_id", split_of(F.col("doc_id"), num_val).alias("split"), token_count(F.coalesce("text", F.lit(""))).alias("n"))
-    return offsets(counts).select("doc_id", "split", "n", "offset")
+    return offsets(counts, bucket=bucket_width(docs)).select("doc_id", "split", "n", "offset")
+
+
+def part_ordinals(placed: DataFrame, shard_size: int) -> DataFrame:
+    """``ordinal, split, shard_id, doc_id``: all parts of all shards in one order, validation first, from 1."""
+    parts = placed.withColumn("first", F.expr(f"offset div {shard_size}")).withColumn("parts", F.expr(f"(offset + n - 1) div {shard_size}") - F.col("first") + 1)
+    ranked = offsets(parts.drop("offset"), size="parts", bucket=bucket_width(placed))
+    val = parts.agg(F.coalesce(F.sum(F.when(F.col("split") == "val", F.col("parts"))), F.lit(0)).alias("before"))
+    each = ranked.join(F.broadcast(val)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    before = F.when(F.col("split") == "train", F.col("before")).otherwise(0)
+    return each.select((before + F.col("offset") + F.col("k") + 1).alias("ordinal"), "split", (F.col("first") + F.col("k")).alias("shard_id"), "doc_id")
 
 
 def pack(placed: DataFrame, shard_size: int) -> DataFrame:

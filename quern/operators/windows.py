@@ -7,6 +7,8 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tokens import BUCKET, offsets
+
 #: Sliding-window modes: how far starts go, and where scoring begins. They are not equivalent; V2 is canonical.
 MODES = ("V1", "V2", "V3", "V4", "V5", "V6", "V7")
 
@@ -38,11 +40,23 @@ def sliding(spark: SparkSession, n: int, length: int, stride: int, mode: str = "
 
 
 def coverage(windows: DataFrame, n: int) -> DataFrame:
-    """``times, positions``: how many targets are scored how often."""
-    spans = windows.select(F.explode(F.sequence(F.col("ws") + F.col("score_from"), F.col("ws") + F.col("wlen") - 1)).alias("pos")).where(F.col("pos") < n)
-    seen = spans.groupBy("pos").agg(F.count("*").alias("times")).groupBy("times").agg(F.count("*").alias("positions"))
-    never = seen.agg((F.lit(n) - F.coalesce(F.sum("positions"), F.lit(0))).alias("positions")).where("positions > 0").select(F.lit(0).cast("long").alias("times"), "positions")
-    return seen.unionByName(never)
+    """``times, positions``: how many targets are scored how often.
+
+    Only the ends of the windows' spans are rows: a span adds one at its begin and
+    takes one away behind its end, and a prefix sum in two levels counts the spans
+    over each stretch between two ends.
+    """
+    begin, end = F.least(F.col("ws") + F.col("score_from"), F.lit(n)), F.least(F.col("ws") + F.col("wlen"), F.lit(n))
+    marks = F.array(F.struct(begin.alias("pos"), F.lit(1).cast("long").alias("d")), F.struct(F.greatest(begin, end).alias("pos"), F.lit(-1).cast("long").alias("d")))
+    ends = windows.select(F.explode(marks).alias("e")).select("e.*")
+    edge = windows.sparkSession.createDataFrame([(0, 0), (n, 0)], "pos long, d long")
+    rows = ends.unionByName(edge).groupBy("pos").agg(F.sum("d").alias("d")).withColumn("all", F.lit(0))
+    width = max(1, n // max(1, windows.count()) * BUCKET // 2)
+    depth = offsets(rows, size="d", key="pos", group="all", bucket=width).withColumn("b", F.expr(f"pos div {width}"))
+    following = rows.groupBy(F.expr(f"pos div {width}").alias("b")).agg(F.min("pos").alias("first")).select("b", F.lead("first").over(Window.orderBy("b")).alias("after"))  # a row for each bucket
+    upto = F.coalesce(F.lead("pos").over(Window.partitionBy("b").orderBy("pos")), F.col("after"))
+    runs = depth.join(following, "b").select((F.col("offset") + F.col("d")).alias("times"), (upto - F.col("pos")).alias("positions"))
+    return runs.where("positions > 0").groupBy("times").agg(F.sum("positions").alias("positions"))
 
 
 def document_spans(placed: DataFrame) -> DataFrame:

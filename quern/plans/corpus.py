@@ -157,13 +157,10 @@ def s19(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(f"SELECT id, coalesce(model_path, vocab_path, path, 'error') AS chosen FROM VALUES {ARTIFACTS} AS t(id, model_path, vocab_path, path)")
 
 
-@register("u1_ordered_union", f"WITH {PLACED}, {PARTS} SELECT row_number() OVER (ORDER BY split DESC, shard_id, doc_id) AS ordinal, split, shard_id, doc_id FROM pt WHERE split = 'val' OR shard_id = 0")
+@register("u1_ordered_union", f"WITH {PLACED}, {PARTS} SELECT row_number() OVER (ORDER BY split DESC, shard_id, doc_id) AS ordinal, split, shard_id, doc_id FROM pt")
 def u1(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    parts = T.pack(placed(spark, d), SHARD)
-    both = parts.where("split = 'val'").unionByName(parts.where("split = 'train' AND shard_id = 0"))  # two parts of bounded size
-    return both.select(F.row_number().over(Window.orderBy(F.desc("split"), "shard_id", "doc_id")).cast("long").alias("ordinal"), "split", "shard_id", "doc_id")
+    """The parts of all shards, one after the other."""
+    return T.part_ordinals(placed(spark, d), SHARD)
 
 
 @register("u2_duplicate_names", "SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quant as Q
+from ..operators import tokens as T
 from . import quantization as N
 from .corpus import docs
 from .evaluation import PAIRS_SQL, pairs
@@ -21,7 +22,7 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
 @register("s8_validation_load", f"WITH {TOTAL} SELECT total, (total - 1) // 1024 * 1024 + 1 AS used, (least(total, 500000) - 1) // 1024 * 1024 + 1 AS used_capped FROM tt")
 def s8(spark: SparkSession, d: str) -> DataFrame:
     """Tokens left after cutting to whole sequences, without and with the cap of 500,000."""
-    t = docs(spark, d).agg(F.sum(F.octet_length("text").cast("long") + 1).alias("total"))
+    t = docs(spark, d).agg(F.sum(T.token_count(F.col("text"))).alias("total"))
     return t.selectExpr("total", "(total - 1) div 1024 * 1024 + 1 AS used", "(least(total, 500000) - 1) div 1024 * 1024 + 1 AS used_capped")
 
 

@@ -111,17 +111,22 @@ def w10(spark: SparkSession, d: str) -> DataFrame:
 
 @register("w11_length_buckets", f"WITH {ONE} SELECT doc_id, (len - 2) // {CHUNK} AS bucket, row_number() OVER (PARTITION BY (len - 2) // {CHUNK} ORDER BY doc_id) AS place FROM sp")
 def w11(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    rows = spans(spark, d).select("doc_id", F.expr(f"(len - 2) div {CHUNK}").alias("bucket"), F.lit(1).cast("long").alias("one"))
+    return T.offsets(rows, size="one", group="bucket").select("doc_id", "bucket", (F.col("offset") + 1).alias("place"))
+
 
-    rows = spans(spark, d).select("doc_id", F.expr(f"(len - 2) div {CHUNK}").alias("bucket"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")).cast("long"))
+P9 = f"""WITH {TOKENS}, l AS (SELECT max(doc_id) AS last_doc FROM documents), st AS (SELECT CASE WHEN doc_id = last_doc THEN tokens ELSE list_append(tokens, 1) END AS tokens FROM tk, l),
+x AS (SELECT unnest(tokens[:-2]) AS x, unnest(tokens[2:]) AS y FROM st) SELECT x, y, count(*) AS n FROM x GROUP BY x, y"""
 
 
-@register("p9_shifted_pairs", f"WITH {TOKENS}, x AS (SELECT unnest(tokens[:-2]) AS x, unnest(tokens[2:]) AS y FROM tk) SELECT x, y, count(*) AS n FROM x GROUP BY x, y")
+@register("p9_shifted_pairs", P9)
 def p9(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of neighbours in the whole stream: a document's last token is followed by the next one's begin mark."""
     t = T.byte_tokens(docs(spark, d))
-    pairs = t.select(F.explode(F.arrays_zip(F.expr("slice(tokens, 1, size(tokens) - 1)").alias("x"), F.expr("slice(tokens, 2, size(tokens) - 1)").alias("y"))).alias("p"))
-    return pairs.select("p.x", "p.y").groupBy("x", "y").agg(F.count("*").alias("n"))
+    last = docs(spark, d).agg(F.max("doc_id").alias("last_doc"))
+    follow = F.concat(F.expr("slice(tokens, 2, size(tokens))"), F.when(F.col("doc_id") < F.col("last_doc"), F.array(F.lit(T.BOS))).otherwise(F.array().cast("array<int>")))
+    pairs = t.join(F.broadcast(last)).select(F.explode(F.arrays_zip(F.col("tokens").alias("x"), follow.alias("y"))).alias("p"))
+    return pairs.select("p.x", "p.y").where("y IS NOT NULL").groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
 @register("j7_window_tokens", f"""WITH {win_sql('V2')}, {ONE} SELECT ws // {UPDATE} AS block, count(*) AS overlaps FROM w JOIN pl ON ws < pl."offset" + pl.n AND ws + wlen > pl."offset" GROUP BY 1""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tokens import token_count
+
 
 def parquet_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -12,4 +14,4 @@ def parquet_stream(spark: SparkSession, path: str, schema, files_per_trigger: in
 
 def running_counts(stream: DataFrame) -> DataFrame:
     """Documents and byte tokens of each source so far."""
-    return stream.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text").cast("long") + 1).alias("tokens"))
+    return stream.groupBy("source").agg(F.count("*").alias("docs"), F.sum(token_count(F.col("text"))).alias("tokens"))
