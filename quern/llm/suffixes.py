@@ -41,6 +41,8 @@ from . import common as C
 from . import rolling
 
 WINDOW, GRAM, GROUP = 200, 40, 4096
+#: Windows of a long text that are looked at together; places within it fit the 28 bits of _PLACE.
+PIECE = 4 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,12 +78,21 @@ def anchor_rows(data: np.ndarray, off: np.ndarray, window: int, gram: int):
     return text[lo], g[a].view(np.int64), u.view(np.int64), lo - off[:-1][text[lo]], a - lo, hi - lo
 
 
+def _pieces(data: np.ndarray, off: np.ndarray, window: int, gram: int):
+    """:func:`anchor_rows` of texts, of a long one in pieces that overlap, so that each window is in one of them."""
+    step = PIECE if len(off) == 2 else len(data) + 1  # chunks hold several texts only up to their limit
+    for k in range(0, max(len(data) - window + 1, 0), step):
+        part = data[k : k + step + window - 1]
+        row, g, u, lo, near, more = anchor_rows(part, off if step > len(data) else np.array([0, len(part)]), window, gram)
+        if len(row):
+            yield row, g, u, lo + k, near, more
+
+
 def _anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, text in C.chunks(batch, "text"):
-                row, g, u, lo, near, more = anchor_rows(*C.buffers(text), window, gram)
-                if len(row):
+                for row, g, u, lo, near, more in _pieces(*C.buffers(text), window, gram):
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(g), pa.array(u), pa.array((lo * 1024 + near) * 1024 + more)], ["dk", "g", "u", "at"])
 
     return run
@@ -186,7 +197,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
         twice = large.groupBy("g", "h").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a <> b").select("g", "h")
         spans = spans.unionByName(large.join(twice, ["g", "h"], "left_semi").select("g", "u", "span"))
     partial = spans.groupBy("g", "u").agg(F.collect_set("span").alias("found"))
-    marked = classes.select("g", "u", "k").join(partial, ["g", "u"], "left").where("k > 1 OR found IS NOT NULL")
+    # written, so that the join below has a plain exchange on either side and Spark can split a hot class's rows
+    marked = C.written(classes.select("g", "u", "k").join(partial, ["g", "u"], "left").where("k > 1 OR found IS NOT NULL"), "anchor-marked")
     hits = live.join(marked, ["g", "u"])
     start = F.shiftright("at", 20)
     whole = F.array(start * 1024 + F.col("at").bitwiseAND(1023) + window)
@@ -205,7 +217,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans = np.asarray(lists[k].values, np.int64) if lists[k].is_valid else np.zeros(0, np.int64)
                 n.append(len(own))
                 if len(spans):
-                    depth = np.zeros(len(own) + 1, np.int64)
+                    depth = np.zeros(len(own) + 1, np.int32)
                     np.add.at(depth, spans >> 10, 1)
                     np.add.at(depth, (spans >> 10) + (spans & 1023), -1)
                     out = np.cumsum(depth[:-1]) > 0

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quern.llm import suffixes
@@ -45,3 +46,31 @@ def test_equals_brute_force(table, rng, group):
 
 def test_empty_table(table):
     assert suffixes.remove_repeats(table([])).count() == 0
+
+
+def test_long_texts_in_pieces(rng, monkeypatch):
+    data, off = np.frombuffer("".join(rng.choices("abcd", k=900)).encode(), np.uint8), np.array([0, 900])
+
+    def windows():
+        out = {}
+        for _, g, _, lo, near, more in suffixes._pieces(data, off, W, 6):
+            for anchor, first, at, n in zip(g.tolist(), lo.tolist(), near.tolist(), more.tolist()):
+                for i in range(n + 1):
+                    assert first + i not in out
+                    out[first + i] = (anchor, first + at)
+        return out
+
+    whole = windows()
+    assert sorted(whole) == list(range(900 - W + 1))
+    monkeypatch.setattr(suffixes, "PIECE", 64)
+    parts = windows()  # the same anchor strings; of equal ones, any
+    assert sorted(parts) == sorted(whole) and all(parts[i][0] == whole[i][0] for i in whole)
+
+
+def test_production_window_against_brute_force(table, rng, monkeypatch):
+    monkeypatch.setattr("tests.llm.test_suffixes.W", suffixes.WINDOW)
+    base = ["".join(rng.choices("abcdefgh é", k=rng.randint(150, 450))) for _ in range(8)]
+    docs = [(d, "".join(rng.choice([rng.choice(base), "".join(rng.choices("ijklm", k=rng.randint(1, 300)))]) for _ in range(rng.randint(0, 5)))) for d in range(60)]
+    docs += [(90, "x" * 199), (91, "x" * 200), (92, "x" * 201), (93, "y" * 500), (94, base[0]), (94, base[0])]
+    got = Counter(tuple(r[:5]) for r in suffixes.remove_repeats(table(docs)).collect())
+    assert got == brute(docs)
