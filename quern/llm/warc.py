@@ -9,9 +9,10 @@ Reading: archives are read whole as binary files and parsed record by record by
 their Content-Length; payload digests are computed anew and compared.
 
 Index: the captures of each archive are sorted by URL key and timestamp, a run.
-An external merge brings the runs together: range boundaries from a bounded
-sample cut all runs alike, and each range is merged by a k-way loser tree.  The
-ranges in order, each in order, are the capture history.  A page's place among
+An external merge brings the runs together: range boundaries from a sample cut
+all runs alike, into ranges of RANGE_ROWS captures on average, and a task merges
+one range after the other by a k-way loser tree, with no more than that range in
+memory.  The ranges in order, each in order, are the capture history.  A page's place among
 the captures of one second is its page_id, so even one hot URL is cut into
 ranges.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -39,8 +41,8 @@ MIN_REVISIT = 1000
 FILE_RECORDS = 2000
 #: Capture times: page_id seconds after this.
 EPOCH = "2024-01-01T00:00:00Z"
-#: Rows of the sample that places the range boundaries.
-SAMPLE = 20_000
+#: Captures of a range on average; sampled captures for each range.
+RANGE_ROWS, SAMPLE = 50_000, 50
 CRLF = "\r\n"
 
 
@@ -188,11 +190,12 @@ class LoserTree:
 def merge_index(captures: DataFrame, ranges: int | None = None) -> DataFrame:
     """The captures in global order of (urlkey, ts, page_id), with their ``range``."""
     spark = captures.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("urlkey"), F.col("ts"), F.coalesce("page_id", F.lit(-1))]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     count = captures.count()
+    n = ranges or max(tasks, -(-count // RANGE_ROWS))
+    order = [F.col("urlkey"), F.col("ts"), F.coalesce("page_id", F.lit(-1))]
     sample = captures.select(*[c.alias(f"k{i}") for i, c in enumerate(order)], F.xxhash64("page_id", "file", "record_offset").alias("h"))
-    picked = sorted(tuple(r)[:3] for r in sample.where(F.pmod("h", F.lit(max(1, count // SAMPLE))) == 0).limit(2 * SAMPLE).collect())
+    picked = sorted(tuple(r)[:3] for r in sample.where(F.pmod("h", F.lit(max(1, count // (SAMPLE * n)))) == 0).collect())
     cuts = [picked[len(picked) * i // n] for i in range(1, n)] if len(picked) >= n else picked
     cuts = sorted(set(cuts))
     held = spark.sparkContext.broadcast(cuts)
@@ -205,28 +208,31 @@ def merge_index(captures: DataFrame, ranges: int | None = None) -> DataFrame:
             at = [bisect.bisect_right(held.value, k) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], ["range", *NAMES])
 
+    fields = SCHEMA.insert(0, pa.field("range", pa.int32()))
+    key = lambda row: (row[1], row[2], -1 if row[3] is None else row[3], row[8], row[9])
+
+    def merged(runs: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        tree = iter(LoserTree([((key(row), row) for row in rows) for rows in runs]))
+        while out := [row for _, row in islice(tree, 10_000)]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=fields)
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[tuple, list] = {}
-        for batch in batches:  # a range's part of each run; ranges are small by construction
+        runs: list[list[tuple]] = []
+        last = None
+        for batch in batches:  # sorted by range and run, and each run in its order
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault((row[0], row[8]), []).append(row)
-        by_range: dict[int, list] = {}
-        for (r, _), rows in runs.items():
-            by_range.setdefault(r, []).append(rows)
-        key = lambda row: (row[1], row[2], -1 if row[3] is None else row[3], row[8], row[9])
-        for r in sorted(by_range):
-            out: list[tuple] = []
-            tree = LoserTree([((key(row), row) for row in rows) for rows in by_range[r]])
-            for _, row in tree:
-                out.append(row)
-                if len(out) == 10_000:
-                    yield pa.RecordBatch.from_pylist([dict(zip(["range", *NAMES], x)) for x in out], SCHEMA.insert(0, pa.field("range", pa.int32())))
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(["range", *NAMES], x)) for x in out], SCHEMA.insert(0, pa.field("range", pa.int32())))
+                if runs and row[0] != last[0]:
+                    yield from merged(runs)
+                    runs = []
+                if not runs or row[8] != last[8]:
+                    runs.append([])
+                runs[-1].append(row)
+                last = row
+        if runs:
+            yield from merged(runs)
 
     placed = captures.mapInArrow(place, "range int, " + CAPTURE)
-    return placed.repartition(n, "range").sortWithinPartitions("range", "file", "urlkey", "ts", "page_id", "record_offset").mapInArrow(merge, "range int, " + CAPTURE)
+    return placed.repartition(min(n, tasks), "range").sortWithinPartitions("range", "file", "urlkey", "ts", "page_id", "record_offset").mapInArrow(merge, "range int, " + CAPTURE)
 
 
 def archive(pages: DataFrame) -> DataFrame:
