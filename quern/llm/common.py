@@ -11,6 +11,7 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ CHUNK_BYTES = 2 << 20
 #: Ids (8 bytes each) that are broadcast at most.
 SENT = 1 << 21
 
+_freed = 0.0
 _runs: dict[str, str] = {}
 _tables: list[str] = []
 
@@ -71,8 +73,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.quern_path = path
     _tables.append(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    global _freed
+    if time.monotonic() > _freed + 5:  # a collection takes longer than a small table
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _freed = time.monotonic()
     return out
 
 

@@ -10,11 +10,11 @@
    of each; only those are posted.  Collisions are then counted on the whole
    signatures, and pairs under ``least`` are skipped without reading their sets.
 4. Posted classes are joined to one hub per key (the class whose keys are most
-   common), never to all of a group; verified links merge components, and rounds
-   repeat with one hub for each component of a key until nothing merges.
+   common), never to all of a group; verified links merge components.
 5. What is left are pairs of classes in different components that share a posted
-   key.  Each of these is examined too, unless the distances to a hub rule the
-   link out (Jaccard distance is a metric), so no link is lost.
+   key.  They can be linked only if they share shingles that the smallest set of
+   their group lacks; they are grouped by these, rarest first, again and again
+   until few are left (``_settled`` proves that no link is lost).
 6. Links are confirmed on the full sets.
 
 ``least`` is the largest threshold that loses a pair at the similarity bound
@@ -46,6 +46,8 @@ COORDINATES = 40
 MISS = 1e-7
 #: Ids of classes whose rows have no id are at least this.
 NO_ID = 1 << 62
+#: Steps of regrouping at most; FEW pairs a class are compared at once.
+LEVELS, FEW = 8, 8
 
 _odd = C.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _seed = C.mix(np.arange(101, COORDINATES + 101, dtype=np.uint64))
@@ -100,8 +102,8 @@ def _sketch(words: int):
                 ends = np.zeros(len(n) + 1, np.int32)
                 ends[1:] = np.cumsum(n > 0) * COORDINATES
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(ca), pa.array(cb), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()))],
-                    ["doc_id", "n", "ca", "cb", "keys"],
+                    [part.column(0), part.column(1), pa.array(n), pa.array(ca), pa.array(cb), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()))],
+                    ["doc_id", "dk", "n", "ca", "cb", "keys"],
                 )
 
     return run
@@ -136,15 +138,12 @@ def _both(pairs: DataFrame, side: DataFrame, *names: str) -> DataFrame:
     return pairs
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
-
-    Texts are linked when 100 * common shingles >= percent * united shingles.
-    """
+def _groups(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """One row per row of ``docs`` (``doc_id, dk, n, ca, cb``), and the components of the classes (ca, cb)."""
     spark = docs.sparkSession
     least = least_matches(percent)
-    slim = C.pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketch = C.written(slim.mapInArrow(_sketch(words), "doc_id long, n long, ca long, cb long, keys array<long>"), "sketch")
+    slim = C.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("dk"), "text")
+    sketch = C.written(slim.mapInArrow(_sketch(words), "doc_id long, dk long, n long, ca long, cb long, keys array<long>"), "sketch")
     # ids that rows with different texts share name no class; their classes are linked below
     several = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("ca").alias("x"), F.max("ca").alias("y")).where("x <> y").select("doc_id")
     clash = several.limit(1).count() > 0
@@ -169,92 +168,131 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .where(F.size("own") >= least)
     )
     posted = C.written(ordered.select("cid", "weight", F.explode(F.expr(f"slice(own, 1, size(own) - {least} + 1)")).alias("x")).select("cid", "weight", "x.key"), "posted")
-    marked = posted.select("cid").distinct()
-    texts = slim.join(marked.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").select("text")
+    marked = C.written(posted.select("cid").distinct(), "marked")
+    texts = C.only(slim, marked.select(F.col("cid").alias("doc_id")), "doc_id").select("text")
     lone = marked.where(f"cid >= {NO_ID}").limit(1).count() > 0
     if lone:  # their texts are found by what they hold
         texts = texts.unionByName(slim.where("doc_id IS NULL").select("text"))
         texts = texts.unionByName(slim.join(several, "doc_id", "left_semi").select("text")) if clash else texts
     sets = texts.mapInArrow(_set_rows(words), "ca long, cb long, shingles array<long>").join(classes.select("ca", "cb", "cid", "n", "keys"), ["ca", "cb"])
-    sets = C.written(sets.dropDuplicates(["cid"]), "sets")
+    sets = C.written(sets.dropDuplicates(["cid"]).select("cid", "n", "keys", "shingles"), "sets")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        """Pairs with enough collisions, and the exact sizes of their sets' intersections."""
+        """Pairs with enough collisions, and whether they are links."""
         near = _both(pairs, sets.select("cid", "n", "keys"), "n", "keys").where(F.size(F.array_intersect("keys1", "keys2")) >= least)
-        near = near.where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")).select("a", "b", "n1", "n2")
-        inter = _both(near, sets.select("cid", "shingles"), "shingles").select("a", "b", "n1", "n2", F.size(F.array_intersect("shingles1", "shingles2")).cast("long").alias("inter"))
-        return C.written(inter.withColumn("linked", 100 * F.col("inter") >= percent * (F.col("n1") + F.col("n2") - F.col("inter"))), tag)
-
-    comp = posted.select("cid", F.col("cid").alias("comp")).distinct()
-    tested = None
-    rounds = 0
-    while True:
-        rounds += 1
-        now = posted.join(comp, "cid")
-        heads = now.groupBy("key", "comp").agg(F.max(F.struct("weight", (-F.col("cid")).alias("minus"))).alias("top"))
-        heads = heads.select("key", "comp", "top", (-F.col("top.minus")).alias("head"))
-        hubs = heads.groupBy("key").agg(F.max("top").alias("best"), F.count("*").alias("k")).where("k > 1").select("key", (-F.col("best.minus")).alias("hub"))
-        pairs = heads.join(hubs, "key").where("head <> hub").select(F.least("head", "hub").alias("a"), F.greatest("head", "hub").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = verified(pairs, "links")
-        tested = found if tested is None else tested.unionByName(found)
-        fresh = found.where("linked").select("a", "b")
-        merged = fresh.limit(1).count()
-        links = links.unionByName(fresh)
-        if merged:
-            comp = C.written(_label(posted, components(links)), "comp")
-        if not merged or rounds >= 4:
-            break
-    # what hubs did not settle: pairs in different components that share a posted key
-    now = posted.join(comp, "cid").select("key", "cid", "weight", "comp")
-    open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("weight", (-F.col("cid")).alias("minus"))).alias("top")).where("lo < hi").select("key", (-F.col("top.minus")).alias("hub"))
-    to_hub = tested.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("b").alias("hub"), "n1", "n2", "inter"), F.struct(F.col("b").alias("cid"), F.col("a").alias("hub"), F.col("n2").alias("n1"), F.col("n1").alias("n2"), "inter"))).alias("x")).select("x.*")
-    rows = C.written(now.join(open_keys, "key").where("cid <> hub").join(to_hub.select("cid", "hub", "inter"), ["cid", "hub"], "left").join(sets.select("cid", "n"), "cid"), "open")
-    # A pair x, m that are both compared with hub h shares |h| - |h-x| - |h-m| + |(h-x)&(h-m)| + |(x-h)&(m-h)| shingles,
-    # of which the next to last is at most the smaller of |h-x| and |h-m|. So a link without a common added shingle
-    # needs inter(x, h) >= bound and inter(m, h) >= bound with bound = percent/(100+percent) * (|x| + |m|).
-    # First those without that need: they are joined by what they add to the hub.
-    added = rows.where("inter IS NOT NULL").select("cid", "hub", "comp", "n", "inter").distinct()
-    added = added.join(sets.select("cid", "shingles"), "cid").join(sets.select(F.col("cid").alias("hub"), F.col("shingles").alias("base")), "hub")
-    added = C.written(added.select("cid", "hub", "comp", "n", "inter", F.explode(F.array_except("shingles", "base")).alias("added")), "added")
-    many = added.groupBy("hub", "added").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hub", "added")
-    some = added.join(many, ["hub", "added"], "left_semi").select("cid", "hub", "comp", "added", "n", "inter")
-    both = some.toDF("a", "hub", "ca", "added", "na", "ia").join(some.toDF("b", "hub", "cb", "added", "nb", "ib"), ["hub", "added"]).where("a < b AND ca <> cb")
-    # with c common added shingles a pair shares at most min(inter) + c
-    by_added = both.groupBy("a", "b", "hub", "na", "nb", "ia", "ib").agg(F.count("*").alias("c")).where(f"(100 + {percent}) * (c + least(ia, ib)) >= {percent} * (na + nb)").select("a", "b").distinct()
-    # Then those that may meet the bound, and those that no hub was compared with.
-    least_n = rows.groupBy("key").agg(F.min("n").alias("least_n"))
-    enough = F.col("inter").isNull() | ((100 + percent) * F.col("inter") >= percent * (F.col("n") + F.greatest("least_n", F.col("n") * percent / 100)))
-    plain = rows.join(least_n, "key").where(enough).select("key", "cid", "comp", "n", "inter")
-    two = plain.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    plain = plain.join(two, "key", "left_semi").select("key", "cid", "comp", "n", "inter")
-    x, m = plain.toDF("key", "a", "ca", "na", "ia"), plain.toDF("key", "b", "cb", "nb", "ib")
-    meets = f"((ia IS NULL OR ib IS NULL) OR ((100 + {percent}) * ia >= {percent} * (na + nb) AND (100 + {percent}) * ib >= {percent} * (na + nb))) AND 100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    by_key = x.join(m, "key").where(f"a < b AND ca <> cb AND {meets}").select("a", "b").distinct()
-    pairs = by_added.unionByName(by_key).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    found = verified(pairs, "rest")
-    final = components(links.unionByName(found.where("linked").select("a", "b")))
-    return _result(sketch, classes, final)
-
-
-def _label(posted: DataFrame, found: DataFrame) -> DataFrame:
-    nodes = posted.select("cid").distinct()
-    return nodes.join(found, nodes["cid"] == found["node"], "left").select("cid", F.coalesce("component", "cid").alias("comp"))
+        near = C.written(near.where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")).select("a", "b", "n1", "n2"), f"{tag}-near")
+        inter = _both(near, _of(near, "a", "b").select("cid", "shingles"), "shingles").select("a", "b", "n1", "n2", F.size(F.array_intersect("shingles1", "shingles2")).cast("long").alias("inter"))
+        return C.written(inter.select("a", "b", (100 * F.col("inter") >= percent * (F.col("n1") + F.col("n2") - F.col("inter"))).alias("linked")), tag)
 
+    def _of(pairs: DataFrame, *ends: str) -> DataFrame:
+        return C.only(sets, C.written(pairs.select(F.explode(F.array(*ends)).alias("cid")).distinct(), "ends"), "cid")
 
-def _result(sketch: DataFrame, classes: DataFrame, final: DataFrame) -> DataFrame:
-    of_class = classes.select("ca", "cb", "cid", "first_id").join(final, F.col("cid") == F.col("node"), "left").select("ca", "cb", "first_id", F.coalesce("component", "cid").alias("label"))
+    nodes = posted.select("cid").distinct()
+    comp = nodes.select("cid", F.col("cid").alias("comp"))
+    if clash:
+        comp = _merged(nodes.unionByName(links.select(F.explode(F.array("a", "b")).alias("cid"))).distinct().select("cid", F.col("cid").alias("comp")), links)
+    # one hub for each key, and one class of each other component of the key
+    heads = posted.join(comp, "cid").groupBy("key", "comp").agg(F.max(F.struct("weight", (-F.col("cid")).alias("minus"))).alias("top"))
+    heads = heads.select("key", "comp", "top", (-F.col("top.minus")).alias("head"))
+    hubs = heads.groupBy("key").agg(F.max("top").alias("best"), F.count("*").alias("k")).where("k > 1").select("key", (-F.col("best.minus")).alias("hub"))
+    pairs = heads.join(hubs, "key").where("head <> hub").select(F.least("head", "hub").alias("a"), F.greatest("head", "hub").alias("b")).distinct()
+    comp = _merged(comp, verified(pairs, "links").where("linked"))
+    return sketch, classes, _settled(posted.select("key", "cid"), sets, comp, verified, _of, percent)
+
+
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``cid, comp`` once the components of the ends of ``links(a, b)`` are one."""
+    ends = links.select("a", "b").join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    found = components(ends)
+    return C.written(comp.join(found, comp["comp"] == found["node"], "left").select("cid", F.coalesce("component", "comp").alias("comp")), "comp")
+
+
+def _settled(groups: DataFrame, sets: DataFrame, comp: DataFrame, verified, of, percent: int) -> DataFrame:
+    """``cid, comp`` once no link between two components of a group ``key`` is left.
+
+    Each group's smallest set h is compared with all its others.  Let x and m be
+    linked but still in two components; then one of them, say x, is not linked
+    with h.  They share at most the smaller of |x & h| and |m & h| within h, and
+    |x & h| alone falls short of what a link of x needs, because |m| >= |h|.  So
+    they share shingles that h lacks, at least ``need`` of them, and it is enough
+    to look at those: rows without so many shared ones leave, the others are
+    grouped anew by a prefix, rarest first, and the step repeats within these
+    groups while they are large.  What is left in the end is compared in pairs.
+    """
+    p, q = percent, 100 + percent
+    some = lambda df: df.limit(1).count() > 0
+    classes = sets.count()
+    for level in range(1, LEVELS + 1):
+        now = groups.join(comp, "cid").join(sets.select("cid", "n"), "cid")
+        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "cid", "comp")).alias("top")).where("lo < hi").select("key", F.col("top.cid").alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.comp").alias("hub_comp"))
+        # written, so that the join below has a plain exchange on either side and Spark can split a hot key's rows
+        pairs = C.written(now.join(C.written(mixed, "open-keys"), "key").where("cid <> hub").select("cid", "comp", "hub", "hub_comp", "hub_n", "n").distinct(), "open-pairs")
+        own = of(pairs, "cid", "hub")
+        rest = pairs.join(own.select("cid", "shingles"), "cid").join(own.select(F.col("cid").alias("hub"), F.col("shingles").alias("base")), "hub")
+        rest = rest.select("cid", "comp", "hub", "hub_comp", "hub_n", "n", F.array_except("shingles", "base").alias("extra")).withColumn("inter", F.col("n") - F.size("extra"))
+        rest = C.written(rest, "open")
+        fresh = rest.where(f"comp <> hub_comp AND 100 * inter >= {p} * (n + hub_n - inter)").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+        if some(fresh):
+            comp = _merged(comp, fresh)
+        # a partner has as many shingles as the hub at least, and at least percent of this class's
+        need = F.greatest(F.lit(1).cast("long"), F.expr(f"({p} * (n + greatest(hub_n, ({p} * n + 99) div 100)) + {q - 1}) div {q} - inter"))
+        left = rest.where(F.size("extra") >= need).drop("comp").join(comp, "cid").select("cid", "comp", "hub", need.alias("need"), F.explode("extra").alias("item"))
+        for again in range(2):  # what few share decides who goes, and then fewer share
+            shared = left.groupBy("hub", "item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("hub", "item", "df")
+            left = left.join(C.written(shared, "shared"), ["hub", "item"]).groupBy("hub", "cid", "comp", "need").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("own")).where("size(own) >= need")
+            cut = "own" if not again else "slice(own, 1, cast(size(own) - need + 1 AS int))"
+            left = C.written(left.select("hub", "cid", "comp", "need", F.explode(F.expr(cut)).alias("x")).select("hub", "cid", "comp", "need", "x.item"), "items")
+            if not some(left):
+                break
+        sizes = left.groupBy("hub", "item", "comp").agg(F.count("*").alias("k")).groupBy("hub", "item").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("major"))
+        sizes = sizes.where("all > major.k").select("hub", "item", "all", (F.col("all") - F.col("major.k")).alias("minor"), F.col("major.comp").alias("major"))
+        pairs = sizes.agg(F.coalesce(F.sum(F.col("all") * F.col("minor")), F.lit(0))).first()[0]
+        if pairs <= FEW * classes or level == LEVELS:
+            break
+        groups = left.select(F.xxhash64("hub", "item").alias("key"), "cid")
+    if pairs:  # rows outside the largest component of their group against all rows of the group
+        left = left.join(sizes.select("hub", "item", "major"), ["hub", "item"])
+        one = left.where("comp <> major").select("hub", "item", F.col("cid").alias("x"), F.col("comp").alias("cx"))
+        both = one.join(left, ["hub", "item"]).where("comp <> cx AND (comp = major OR x < cid)")
+        both = both.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).distinct()
+        fresh = verified(both, "rest").where("linked")
+        comp = _merged(comp, fresh) if some(fresh) else comp
+    return comp
+
+
+def _members(sketch: DataFrame, classes: DataFrame, final: DataFrame) -> DataFrame:
+    """``doc_id, dk, n, label, component`` for each row of the sketch; label and component are null for empty sets."""
+    of_class = classes.select("ca", "cb", "cid", "first_id").join(final, "cid", "left").select("ca", "cb", "first_id", F.coalesce("comp", "cid").alias("label"))
     smallest = of_class.groupBy("label").agg(F.min("first_id").alias("component"))
-    rows = sketch.drop("keys").join(of_class.join(smallest, "label").select("ca", "cb", "component"), ["ca", "cb"], "left")
+    return sketch.drop("keys").join(of_class.join(smallest, "label").select("ca", "cb", "label", "component"), ["ca", "cb"], "left")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
+
+    Texts are linked when 100 * common shingles >= percent * united shingles.
+    """
+    rows = _members(*_groups(docs, words, percent))
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document stays: the smallest id of each component, and rows in no component."""
-    out = near_duplicates(docs, words, percent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__dropped_id")).distinct()
-    return docs.join(out, docs["doc_id"] == out["__dropped_id"], "left_anti")
+    """One row of ``docs`` of each component, that with the smallest id, and all rows without words.
+
+    Of rows that repeat id and text one stays; rows without an id stay only where
+    no row of their component has one.
+    """
+    plain, at = C.by_place(docs)
+    own = plain.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"))
+    rows = C.written(_members(*_groups(own, words, percent)).where("n > 0").select("label", "doc_id", "dk"), "members")
+    best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "dk")).alias("best")).select("label", F.col("best.dk").alias("best"))
+    gone = C.written(rows.join(best, "label").where("dk <> best").select("dk").distinct(), "dropped")
+    left = plain.withColumn("dk", F.xxhash64(F.col(at["doc_id"]).cast("long"), at["text"])).join(gone, "dk", "left_anti")
+    twice = C.written(rows.groupBy("dk").agg(F.count("*").alias("k")).where("k > 1").select("dk"), "repeated")
+    if twice.limit(1).count():
+        left = left.join(twice, "dk", "left_anti").unionByName(left.join(twice, "dk", "left_semi").dropDuplicates(["dk"]))
+    return left.drop("dk").toDF(*docs.columns)
 
 
 def op2_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

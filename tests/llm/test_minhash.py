@@ -78,3 +78,13 @@ def test_keep_one_and_empty_table(table):
 
 def test_threshold_of_matches():
     assert minhash.least_matches(85) == 20 and minhash.least_matches(80) == 17
+
+
+def test_keep_one_with_repeated_rows_null_ids_and_odd_names(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text), (1, text), (2, text + " "), (None, text), (3, "alone in the world it is"), (None, "no id and no twin here at all"), (None, "no id and no twin here at all"), (4, ""), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS dk", "2 AS label", "3 AS __dropped_id", "4 AS DK", "5 AS c0")
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r[0] or -1, r[1] or "") for r in kept.collect())
+    assert got == [(-1, "no id and no twin here at all"), (1, text), (3, "alone in the world it is"), (4, ""), (4, ""), (5, "")]
