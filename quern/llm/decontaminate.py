@@ -15,7 +15,8 @@ computed, for many bands at once.  So all finds are right, and an item is missed
 only if its edits leave no stretch intact; the tests measure that against the edit
 distance of every item to every text.
 
-The benchmark is sent to all, and so the text is read once and nothing is joined.
+The benchmark is sent to all, in parts of bounded size, and so the text is read
+once for each part and nothing is joined.
 
 Defined cases: null and empty texts hold nothing, and empty items are held by
 nothing; documents are told apart by id and text, so repeated rows give one result
@@ -39,8 +40,11 @@ MAX_EDITS = 0.2
 #: Intact stretches of an item that edits up to the limit leave on average.
 SEEDS = 3
 #: Bits of the table of stretches that a text is held against first, and characters of text in bands at once.
-BITS, AT_ONCE = 20, 1 << 21
-_P = np.uint64(0x9E3779B97F4A7C15)
+BITS, AT_ONCE = 20, 1 << 19
+#: Bytes of benchmark text that is sent to all at once, about; a larger benchmark is searched for in parts.
+PART_BYTES = 8 << 20
+_63 = np.uint64(63)
+_P, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def normal(text: pa.Array) -> pa.Array:
@@ -54,13 +58,15 @@ def characters(text: str) -> np.ndarray:
 
 
 def grams(c: np.ndarray, spans: set[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each span, a hash of the characters from each place on."""
+    """For each span, a hash of the characters from each place on; its high bits are mixed."""
     x = c.astype(np.uint64) + np.uint64(1)
     h = np.zeros(len(c), np.uint64)
     for q in range(1, min(max(spans, default=0), len(c)) + 1):
-        h = h[: len(c) - q + 1] * _P + x[q - 1 :]
+        h = h[: len(c) - q + 1]
+        h *= _P
+        h += x[q - 1 :]
         if q in spans:
-            yield q, C.mix(h)
+            yield q, h * _MIX
 
 
 def span(m: int, k: int) -> int:
@@ -155,22 +161,39 @@ class Items:
         pv = [np.full(len(item), ~np.uint64(0)) for _ in range(w)]
         mv = [np.zeros(len(item), np.uint64) for _ in range(w)]
         end = len(code) - 1
+        eq, xv, xh, ph, mh, up, down, top = (np.empty(len(item), np.uint64) for _ in range(8))
         for t in range(int((hi - lo).max())):
             at = lo + t
             sym = base + np.where(at < hi, code[np.minimum(at, end)], 0)  # after its end a text has a character that no item has
-            up = down = np.zeros(len(item), np.uint64)  # a part may begin anywhere: the first row stays 0
-            for b in range(w):
-                eq = bits[b][sym]
-                xv = eq | mv[b]
+            up[:] = down[:] = 0  # a part may begin anywhere: the first row stays 0
+            for b in range(w):  # all in place, so that the arrays stay in a fast cache
+                p, m = pv[b], mv[b]
+                bits[b].take(sym, out=eq, mode="clip")
+                np.bitwise_or(eq, m, out=xv)
                 eq |= down
-                xh = (((eq & pv[b]) + pv[b]) ^ pv[b]) | eq
-                ph = mv[b] | ~(xh | pv[b])
-                mh = pv[b] & xh
+                np.bitwise_and(eq, p, out=xh)
+                xh += p
+                xh ^= p
+                xh |= eq
+                np.bitwise_or(xh, p, out=ph)
+                np.invert(ph, out=ph)
+                ph |= m
+                np.bitwise_and(p, xh, out=mh)
                 if b == w - 1:
-                    score += ((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64)
-                ph, mh, up, down = (ph << one) | up, (mh << one) | down, ph >> np.uint64(63), mh >> np.uint64(63)
-                pv[b] = mh | ~(xv | ph)
-                mv[b] = ph & xv
+                    score += np.bitwise_and(np.right_shift(ph, last, out=top), one, out=top).view(np.int64)
+                    score -= np.bitwise_and(np.right_shift(mh, last, out=top), one, out=top).view(np.int64)
+                np.right_shift(ph, _63, out=top)
+                ph <<= one
+                ph |= up
+                up[:] = top
+                np.right_shift(mh, _63, out=top)
+                mh <<= one
+                mh |= down
+                down[:] = top
+                np.bitwise_and(ph, xv, out=m)
+                np.bitwise_or(xv, ph, out=p)
+                np.invert(p, out=p)
+                p |= mh
             np.minimum(best, score, out=best)
         return best
 
@@ -215,9 +238,18 @@ def best_distance(item: str, window: str) -> int:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
     """``doc_id, dk, item_id, distance`` for each document and item that it holds."""
-    items = [(r[0], r[1]) for r in C.pick(benchmark, "item_id", "text").dropDuplicates().collect()]  # a benchmark is small: it is read whole by those who run it
-    held = docs.sparkSession.sparkContext.broadcast(Items(items, max_edits))
-
+    items = C.pick(benchmark, "item_id", "text").where("text IS NOT NULL").dropDuplicates()
+    parts = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
+    slim = C.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("dk"), "text")
+    out = None
+    for k in range(parts):
+        some = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
+        found = slim.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(Items(some, max_edits))), "doc_id long, dk long, item_id long, distance long")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("doc_id", "dk", "item_id").agg(F.min("distance").alias("distance"))
+
+
+def _search(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, text in C.chunks(batch, "text", 1 << 20):
@@ -225,15 +257,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
                 idx = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(idx), part.column(1).take(idx), pa.array([held.value.ids[i] for i in item], pa.int64()), pa.array(d)], ["doc_id", "dk", "item_id", "distance"])
 
-    slim = C.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("dk"), "text")
-    found = slim.mapInArrow(run, "doc_id long, dk long, item_id long, distance long")
-    return found.groupBy("doc_id", "dk", "item_id").agg(F.min("distance").alias("distance"))
+    return run
 
 
 def filter_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns unchanged."""
-    bad = C.written(contaminated(docs, benchmark).select(F.col("dk").alias("__bad")).distinct(), "contaminated")
-    return docs.withColumn("__dk", F.xxhash64("doc_id", "text")).join(bad, F.col("__dk") == F.col("__bad"), "left_anti").drop("__dk")
+    plain, at = C.by_place(docs)
+    own = plain.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"))
+    bad = C.written(contaminated(own, benchmark).select("dk").distinct(), "contaminated")
+    return plain.withColumn("dk", F.xxhash64(F.col(at["doc_id"]).cast("long"), at["text"])).join(bad, "dk", "left_anti").drop("dk").toDF(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,13 @@ def test_typos_in_opening_words_lost_openings_and_short_items(spark, table, rng)
     assert sorted(got) == [(1, 1), (2, 2), (3, 3), (4, 4)]
     texts = {d: " ".join(x.lower().split()) for d, x in docs}
     assert all(plain_distance(dict(items)[i], texts[d]) == n for (d, i), n in got.items())
+
+
+def test_other_columns_and_benchmark_in_parts(spark, table, rng, monkeypatch):
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(words[10 * i : 10 * i + 10])) for i in range(6)], "item_id long, text string")
+    docs = table([(i, "x " + " ".join(words[10 * i : 10 * i + 10])) for i in range(5)] + [(9, "clean text of its own")]).selectExpr("*", "1 AS __dk", "2 AS __bad", "3 AS DK")
+    monkeypatch.setattr(D, "PART_BYTES", 100)
+    assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, bench).collect()} == {(i, i) for i in range(5)}
+    kept = D.filter_contaminated(docs, bench)
+    assert kept.columns == docs.columns and [(r["doc_id"], r["__dk"], r["__bad"]) for r in kept.collect()] == [(9, 1, 2)]
