@@ -119,3 +119,7 @@ def export_counters(placed: DataFrame, shard_size: int) -> DataFrame:
 def bigram_rows(vocab: Column) -> Column:
     """Recommended size of a bigram table: five times the vocabulary rounded up to 128."""
     return F.expr(f"(({vocab._jc.toString()} + 127) div 128) * 128 * 5")
+
+
+def bigram_size(vocab: int) -> int:
+    return (vocab + 127) // 128 * 128 * 5

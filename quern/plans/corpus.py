@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tokens as T
-from .registry import register
+from ..sources import manifest as M
+from .registry import register, shared_folder
 
 NUM_VAL, SHARD = 50, 100_000
 #: Tokens of each document as a DuckDB list.
@@ -72,7 +73,8 @@ RESOLVE = "(VALUES (1, 10, 20), (2, NULL, 20), (3, NULL, NULL)) AS v(case_id, cl
 
 @register("p6_val_count", f"SELECT case_id, coalesce(cli, sidecar, 50000) AS docs_val FROM {RESOLVE}")
 def p6(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(f"SELECT case_id, coalesce(cli, sidecar, 50000) AS docs_val FROM VALUES (1, 10, 20), (2, NULL, 20), (3, NULL, NULL) AS v(case_id, cli, sidecar)")
+    rows = spark.createDataFrame([(1, 10, 20), (2, None, 20), (3, None, None)], "case_id int, cli int, sidecar int")
+    return rows.select("case_id", M.validation_docs("cli", "sidecar").alias("docs_val"))
 
 
 SPECS = "(1,'byte','',NULL,NULL),(2,NULL,'x.y:build_pure_byte_tokenizer',NULL,NULL),(3,NULL,'build_sentencepiece_tokenizer',NULL,NULL),(4,NULL,NULL,'byte260',NULL),(5,NULL,NULL,NULL,1024),(6,'sentencepiece','','byte260',NULL),(7,NULL,NULL,NULL,NULL)"
@@ -83,7 +85,8 @@ KIND = """CASE WHEN kind IN ('byte', 'pure_byte') THEN 'byte' WHEN kind IN ('sen
 
 @register("p7_tokenizer_kind", f"SELECT spec, {KIND} AS resolved FROM (VALUES {SPECS}) AS v(spec, kind, builder, suffix, vocab_size)")
 def p7(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(f"SELECT spec, {KIND} AS resolved FROM VALUES {SPECS} AS v(spec, kind, builder, suffix, vocab_size)")
+    rows = spark.sql(f"SELECT * FROM VALUES {SPECS} AS v(spec, kind, builder, suffix, vocab_size)")
+    return rows.select("spec", F.coalesce(M.tokenizer_kind("kind", "builder", "suffix", "vocab_size"), F.lit("error")).alias("resolved"))
 
 
 @register("p8_bigram_size", "SELECT p_partkey AS vocab, ((p_partkey + 127) // 128) * 128 * 5 AS bigram_rows FROM part")
@@ -117,19 +120,47 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).agg(F.count("*").alias("expected")).join(exported).withColumn("ok", F.col("expected") == F.col("exported"))
 
 
-S11 = f"""WITH {PLACED}, b AS (SELECT split, count(*) AS docs, sum(n) AS tokens FROM pl GROUP BY split)
-SELECT 'documents_byte260' AS dataset, 'pure_byte_260' AS tokenizer, 260 AS vocab, 1 AS bos_id, ((260 + 127) // 128) * 128 * 5 AS bigram_rows, CAST(sum(docs) AS BIGINT) AS docs_total, CAST(sum(tokens) AS BIGINT) AS tokens_total FROM b"""
+NAME = "documents_byte260"
+
+
+def manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest of the byte-token export, written as JSON and read back."""
+    c = T.export_counters(placed(spark, d), SHARD)
+    of = lambda what, split: F.coalesce(F.max(F.when(F.col("split") == split, F.col(what))), F.lit(0)).alias(f"{what}_{split}")
+    stats = c.agg(*[of(w, s) for w in ("docs", "files", "tokens") for s in ("total", "val", "train")])
+    tokenizer = F.struct(F.lit("pure_byte_260").alias("name"), F.lit("byte").alias("kind"), F.lit("byte260").alias("dataset_suffix"), F.lit(260).alias("vocab_size"), F.lit(T.BOS).alias("bos_id"), F.lit("tokenizers/byte260.json").alias("path"))
+    data = F.struct(
+        F.lit(NAME).alias("name"), F.lit("pure_byte_260").alias("tokenizer_name"), F.lit(260).alias("vocab_size"), F.lit(T.BOS).alias("bos_id"), F.lit(T.bigram_size(260)).alias("recommended_bigram_vocab_size"),
+        F.lit(f"datasets/{NAME}").alias("path"), F.lit(f"datasets/{NAME}/train_*.bin").alias("train_glob"), F.lit(f"datasets/{NAME}/val_*.bin").alias("val_glob"), F.struct(*[f"{w}_{s}" for w in ("docs", "files", "tokens") for s in ("total", "val", "train")]).alias("stats"),
+    )
+    made = stats.select(
+        F.lit("1").alias("version"), F.col("docs_total").alias("num_docs"), F.col("docs_val").alias("num_val_docs"), F.lit(SHARD).alias("shard_size"), F.lit(False).alias("append_eos"), F.lit("documents.jsonl").alias("docs_jsonl"),
+        F.array(tokenizer).alias("tokenizers"), F.array(data).alias("datasets"),
+    )
+    path = shared_folder(spark, "manifest")
+    M.write_json(made, path)
+    return M.read_manifest(spark, path)
+
+
+S11 = f"""WITH {PLACED}, b AS (SELECT split, count(*) AS docs, sum(n) AS tokens, (sum(n) + {SHARD - 1}) // {SHARD} AS files FROM pl GROUP BY split)
+SELECT 'documents_byte260' AS dataset, 'pure_byte_260' AS tokenizer, CAST(260 AS BIGINT) AS vocab, CAST(1 AS BIGINT) AS bos_id, CAST(((260 + 127) // 128) * 128 * 5 AS BIGINT) AS bigram_rows, CAST(sum(docs) AS BIGINT) AS docs_total, CAST(sum(tokens) AS BIGINT) AS tokens_total,
+ CAST(sum(docs) FILTER (split = 'val') AS BIGINT) AS docs_val, CAST(sum(docs) FILTER (split = 'train') AS BIGINT) AS docs_train, CAST(sum(files) AS BIGINT) AS files_total, CAST(sum(files) FILTER (split = 'val') AS BIGINT) AS files_val, CAST(sum(files) FILTER (split = 'train') AS BIGINT) AS files_train,
+ CAST(sum(tokens) FILTER (split = 'val') AS BIGINT) AS tokens_val, CAST(sum(tokens) FILTER (split = 'train') AS BIGINT) AS tokens_train, CAST({SHARD} AS BIGINT) AS shard_size, 'tokenizers/byte260.json' AS artifact FROM b"""
 
 
 @register("s11_manifest", S11)
 def s11(spark: SparkSession, d: str) -> DataFrame:
-    t = T.export_counters(placed(spark, d), SHARD).where("split = 'total'")
-    return t.selectExpr("'documents_byte260' AS dataset", "'pure_byte_260' AS tokenizer", "260 AS vocab", "1 AS bos_id", "((260 + 127) div 128) * 128 * 5 AS bigram_rows", "docs AS docs_total", "tokens AS tokens_total")
+    """The manifest's dataset and its tokenizer (P15, J2), after a round trip through the file."""
+    m = manifest(spark, d)
+    data = M.dataset(m, NAME).select(F.col("name").alias("dataset"), F.col("tokenizer_name").alias("tokenizer"), F.col("vocab_size").alias("vocab"), "bos_id", F.col("recommended_bigram_vocab_size").alias("bigram_rows"), "stats.*")
+    return data.join(F.broadcast(m.select("shard_size"))).join(F.broadcast(M.tokenizer_of(m, NAME).select("artifact")))
 
 
-@register("s16_shard_prefix", f"WITH {PLACED}, {PARTS} SELECT split, shard_id, count(*) AS docs FROM pt WHERE split = 'val' OR shard_id < 3 GROUP BY split, shard_id")
+@register("s16_shard_prefix", f"WITH {PLACED}, {PARTS} SELECT split, shard_id, count(*) AS docs FROM pt WHERE split = 'val' OR shard_id < 2 GROUP BY split, shard_id")
 def s16(spark: SparkSession, d: str) -> DataFrame:
-    return T.pack(placed(spark, d), SHARD).where("split = 'val' OR shard_id < 3").groupBy("split", "shard_id").agg(F.count("*").alias("docs"))
+    """All validation shards and the first two of training, by the manifest, which must have so many."""
+    chosen = M.shard_prefix(manifest(spark, d), NAME, 2)
+    return T.pack(placed(spark, d), SHARD).join(F.broadcast(chosen), ["split", "shard_id"], "left_semi").groupBy("split", "shard_id").agg(F.count("*").alias("docs"))
 
 
 VARIANTS = "('byte260'),('sp1024'),('sp8192'),('spx'),('sp'),('foo')"
@@ -137,7 +168,8 @@ VARIANTS = "('byte260'),('sp1024'),('sp8192'),('spx'),('sp'),('foo')"
 
 @register("s17_variant_names", f"SELECT v, CASE WHEN v = 'byte260' THEN 'byte260' WHEN regexp_matches(v, '^sp[0-9]+$') THEN 'sp' ELSE 'error' END AS kind FROM (VALUES {VARIANTS}) AS t(v)")
 def s17(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(f"SELECT v, CASE WHEN v = 'byte260' THEN 'byte260' WHEN v rlike '^sp[0-9]+$' THEN 'sp' ELSE 'error' END AS kind FROM VALUES {VARIANTS} AS t(v)")
+    rows = spark.sql(f"SELECT v FROM VALUES {VARIANTS} AS t(v)")
+    return rows.select("v", F.coalesce(M.variant_kind("v"), F.lit("error")).alias("kind"))
 
 
 PATHS = "('root/datasets/a/x.bin'),('root/tokenizers/t.model'),('root/manifest.json'),('/abs/root/other')"
@@ -146,7 +178,7 @@ MAP = "CASE WHEN p LIKE 'root/datasets/%' THEN regexp_replace(p, '^root/datasets
 
 @register("s18_path_map", f"SELECT p, {MAP} AS local FROM (VALUES {PATHS}) AS t(p)")
 def s18(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(f"SELECT p, {MAP} AS local FROM VALUES {PATHS} AS t(p)")
+    return spark.sql(f"SELECT p FROM VALUES {PATHS} AS t(p)").select("p", M.local_path("p", "root", "data").alias("local"))
 
 
 ARTIFACTS = "(1,'m','v','p'),(2,NULL,'v','p'),(3,NULL,NULL,'p'),(4,NULL,NULL,NULL)"
@@ -154,7 +186,8 @@ ARTIFACTS = "(1,'m','v','p'),(2,NULL,'v','p'),(3,NULL,NULL,'p'),(4,NULL,NULL,NUL
 
 @register("s19_artifact_path", f"SELECT id, coalesce(model_path, vocab_path, path, 'error') AS chosen FROM (VALUES {ARTIFACTS}) AS t(id, model_path, vocab_path, path)")
 def s19(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(f"SELECT id, coalesce(model_path, vocab_path, path, 'error') AS chosen FROM VALUES {ARTIFACTS} AS t(id, model_path, vocab_path, path)")
+    rows = spark.sql(f"SELECT * FROM VALUES {ARTIFACTS} AS t(id, model_path, vocab_path, path)")
+    return rows.select("id", F.coalesce(M.artifact_path("model_path", "vocab_path", "path"), F.lit("error")).alias("chosen"))
 
 
 @register("u1_ordered_union", f"WITH {PLACED}, {PARTS} SELECT row_number() OVER (ORDER BY split DESC, shard_id, doc_id) AS ordinal, split, shard_id, doc_id FROM pt")

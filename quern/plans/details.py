@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import quant as Q
 from ..operators import tokens as T
+from ..sources import manifest as M
+from ..sources.files import sidecar
 from . import quantization as N
 from .corpus import docs
 from .evaluation import PAIRS_SQL, pairs
-from .registry import register
+from .registry import register, shared_folder
 from .windowing import TOTAL, total_tokens
 
 
@@ -32,20 +34,31 @@ REL = "CASE WHEN p = '/out/root' THEN '.' WHEN p LIKE '/out/root/%' THEN substri
 
 @register("s12_relative_paths", f"SELECT p, {REL} AS relative FROM (VALUES {PATHS}) AS t(p)")
 def s12(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(f"SELECT p, {REL} AS relative FROM VALUES {PATHS} AS t(p)")
+    return spark.sql(f"SELECT p FROM VALUES {PATHS} AS t(p)").select("p", M.relative_path("p", "/out/root").alias("relative"))
 
 
-@register("s14_byte_descriptor", "SELECT 'pure_byte_260' AS name, 'byte260' AS suffix, 260 AS vocab_size, 0 AS pad_id, 1 AS bos_id, 2 AS eos_id, 3 AS unk_id, 4 AS byte_offset, 256 AS byte_count")
+@register("s14_byte_descriptor", "SELECT 'pure_byte_260' AS name, 'byte260' AS suffix, CAST(260 AS BIGINT) AS vocab_size, CAST(0 AS BIGINT) AS pad_id, CAST(1 AS BIGINT) AS bos_id, CAST(2 AS BIGINT) AS eos_id, CAST(3 AS BIGINT) AS unk_id, CAST(4 AS BIGINT) AS byte_offset, CAST(256 AS BIGINT) AS byte_count")
 def s14(spark: SparkSession, d: str) -> DataFrame:
-    """The byte tokenizer's descriptor (also P19)."""
-    return spark.sql("SELECT 'pure_byte_260' AS name, 'byte260' AS suffix, 260 AS vocab_size, 0 AS pad_id, 1 AS bos_id, 2 AS eos_id, 3 AS unk_id, 4 AS byte_offset, 256 AS byte_count")
+    """The byte tokenizer's descriptor (P19), written as JSON and read back (S13, S14)."""
+    path = shared_folder(spark, "tokenizer")
+    M.write_json(M.byte_descriptor(spark), path)
+    return spark.read.schema("name string, suffix string, vocab_size long, pad_id long, bos_id long, eos_id long, unk_id long, byte_offset long, byte_count long").json(path, multiLine=True)
 
 
-@register("s22_sidecar_defaults", "SELECT id, CAST(json_extract_string(j, '$.num_docs') AS BIGINT) AS num_docs, coalesce(CAST(json_extract_string(j, '$.docs_val') AS BIGINT), 50000) AS docs_val FROM (VALUES (1, '{\"num_docs\": 9}'), (2, '{\"docs_val\": 4}'), (3, '{}')) AS t(id, j)")
+SIDECARS = ['{"num_docs": 9}', '{"docs_val": 4}', "{}"]
+S22 = ", ".join(f"({i}, '{x}')" for i, x in enumerate(SIDECARS))
+
+
+@register("s22_sidecar_defaults", f"SELECT id, CAST(json_extract_string(j, '$.num_docs') AS BIGINT) AS num_docs, CAST(coalesce(CAST(json_extract_string(j, '$.docs_val') AS BIGINT), 50000) AS BIGINT) AS docs_val FROM (VALUES {S22}) AS t(id, j)")
 def s22(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, '{"num_docs": 9}'), (2, '{"docs_val": 4}'), (3, "{}")], "id int, j string")
-    s = F.from_json("j", "num_docs long, docs_val long")
-    return rows.select("id", s["num_docs"].alias("num_docs"), F.coalesce(s["docs_val"], F.lit(50000)).alias("docs_val"))
+    """Sidecar files, read one by one."""
+    out = None
+    for i, text in enumerate(SIDECARS):
+        path = shared_folder(spark, "sidecar")
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+        one = sidecar(spark, path).select(F.lit(i).alias("id"), "num_docs", F.coalesce("docs_val", F.lit(50000)).alias("docs_val"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("p20_tensor_bytes", "SELECT label, CAST(count(*) * 64 * 4 AS BIGINT) AS float32_bytes, CAST(count(*) * 64 * 2 AS BIGINT) AS half_bytes, CAST(count(*) * 64 AS BIGINT) AS int8_bytes FROM embeddings GROUP BY 1")

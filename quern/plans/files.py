@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,17 +12,7 @@ from ..operators import tokens as T
 from ..sources.tokshard import read_shards, write_shards
 from ..streaming import stream
 from .corpus import PARTS, PLACED, SHARD, docs, placed
-from .registry import register
-
-
-def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``, or on a local master without one, a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/{tag}-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix=f"quern-{tag}-")
+from .registry import register, shared_folder
 
 
 @register("s9_shard_roundtrip", f"WITH {PLACED}, {PARTS}, s AS (SELECT split, shard_id, sum(hi - lo) AS n FROM pt GROUP BY 1, 2) SELECT split || '_' || printf('%06d', shard_id) || '.bin' AS name, CAST(n AS BIGINT) AS n FROM s")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import t_cdf
-from .registry import register
+from ..sources import logs
+from .registry import register, shared_folder
 
 #: Lines in the two log grammars, the final lines, and the settings block.
 LOG = [
@@ -27,31 +28,30 @@ LOG = [
 LINES = ", ".join(f"({i}, '{x}')" for i, x in enumerate(LOG))
 
 
-def _log(name: str, body: str) -> None:
-    """The same expressions run in both engines; only the VALUES clause and regular-expression names differ."""
+def _log(name: str, parse, sql: str) -> None:
+    """The lines are written as a log file, read again, and parsed; SQL has them as VALUES."""
 
-    @register(name, body.format(src=f"(VALUES {LINES}) AS t(id, line)"))
+    @register(name, sql.format(src=f"(VALUES {LINES}) AS t(id, line)"))
     def query(spark: SparkSession, d: str) -> DataFrame:
-        src = spark.createDataFrame(list(enumerate(LOG)), "id int, line string")  # log files are read with spark.read.text
-        src.createOrReplaceTempView("quern_log")
-        spark.conf.get("spark.sql.session.timeZone")
-        return spark.sql(body.format(src="quern_log").replace("regexp_matches(", "regexp_like(").replace("\\", "\\\\"))
+        path = shared_folder(spark, "log") + "/train.log"
+        spark.createDataFrame([("\n".join(LOG),)], "value string").coalesce(1).write.text(path)
+        return parse(logs.read_log(spark, path))
 
 
 def _x(pattern: str, kind: str = "DOUBLE", group: int = 1) -> str:
     return f"CAST(nullif(regexp_extract(line, '{pattern}', {group}), '') AS {kind})"
 
 
-_log("l1_step_lines", f"""SELECT id, {_x('^step:([0-9]+)/', 'BIGINT')} AS step, {_x('^step:[0-9]+/([0-9]+)', 'BIGINT')} AS steps, {_x('train_loss:([0-9.]+)')} AS train_loss, {_x('val_loss:([0-9.]+)')} AS val_loss, {_x('val_bpb:([0-9.]+)')} AS val_bpb,
+_log("l1_step_lines", logs.step_lines, f"""SELECT id, {_x('^step:([0-9]+)/', 'BIGINT')} AS step, {_x('^step:[0-9]+/([0-9]+)', 'BIGINT')} AS steps, {_x('train_loss:([0-9.]+)')} AS train_loss, {_x('val_loss:([0-9.]+)')} AS val_loss, {_x('val_bpb:([0-9.]+)')} AS val_bpb,
  {_x('train_time:([0-9]+)ms', 'BIGINT')} AS time_ms, {_x('step_avg:([0-9.]+)ms')} AS step_avg FROM {{src}} WHERE regexp_matches(line, '^step:[0-9]+/[0-9]+ ')""")
-_log("l2_slash_lines", f"""SELECT id, {_x('^([0-9]+)/', 'BIGINT')} AS step, {_x('train_loss: ([0-9.]+)')} AS train_loss, {_x('val_loss: ([0-9.]+)')} AS val_loss, {_x('val_bpb: ([0-9.]+)')} AS val_bpb,
+_log("l2_slash_lines", logs.slash_lines, f"""SELECT id, {_x('^([0-9]+)/', 'BIGINT')} AS step, {_x('train_loss: ([0-9.]+)')} AS train_loss, {_x('val_loss: ([0-9.]+)')} AS val_loss, {_x('val_bpb: ([0-9.]+)')} AS val_bpb,
  CAST({_x('train_time: ([0-9.]+)m')} * 60000 AS BIGINT) AS time_ms, {_x('tok/s: ([0-9]+)', 'BIGINT')} AS tokens_per_s FROM {{src}} WHERE regexp_matches(line, '^[0-9]+/[0-9]+ ')""")
-_log("l3_final_scores", f"""SELECT id, regexp_extract(line, '^([a-z0-9_]+)[ :]', 1) AS label, {_x('val_loss[:=]([0-9.]+)')} AS val_loss, {_x('val_bpb[:=]([0-9.]+)')} AS val_bpb, {_x('eval_time:([0-9]+)ms', 'BIGINT')} AS eval_ms
+_log("l3_final_scores", logs.final_scores, f"""SELECT id, regexp_extract(line, '^([a-z0-9_]+)[ :]', 1) AS label, {_x('val_loss[:=]([0-9.]+)')} AS val_loss, {_x('val_bpb[:=]([0-9.]+)')} AS val_bpb, {_x('eval_time:([0-9]+)ms', 'BIGINT')} AS eval_ms
  FROM {{src}} WHERE regexp_matches(line, '^(final|quantized|ttt)')""")
-_log("l4_settings", "SELECT id, regexp_extract(line, '^  ([a-z_]+): ', 1) AS name, regexp_extract(line, '^  [a-z_]+: (.*)$', 1) AS setting FROM {src} WHERE regexp_matches(line, '^  [a-z_]+: ')")
-_log("l5_sizes", f"SELECT id, {_x('([0-9]+) bytes', 'BIGINT')} AS bytes, {_x('allocated: ([0-9]+) MiB', 'BIGINT')} AS peak_mib FROM {{src}} WHERE regexp_matches(line, '[0-9] bytes|MiB')")
-_log("l6_early_stop", f"SELECT id, {_x('train_time:([0-9]+)ms', 'BIGINT')} AS time_ms, {_x('step:([0-9]+)/', 'BIGINT')} AS step FROM {{src}} WHERE regexp_matches(line, '^stopping_early')")
-_log("l10_throughput", f"SELECT id, round({_x('train_time:([0-9]+)ms', 'BIGINT')} / CAST(greatest({_x('step:([0-9]+)/', 'BIGINT')}, 1) AS DOUBLE), 4) AS step_ms FROM {{src}} WHERE regexp_matches(line, 'train_time:[0-9]+ms')")
+_log("l4_settings", logs.settings, "SELECT id, regexp_extract(line, '^  ([a-z_]+): ', 1) AS name, regexp_extract(line, '^  [a-z_]+: (.*)$', 1) AS setting FROM {src} WHERE regexp_matches(line, '^  [a-z_]+: ')")
+_log("l5_sizes", logs.sizes, f"SELECT id, {_x('([0-9]+) bytes', 'BIGINT')} AS bytes, {_x('allocated: ([0-9]+) MiB', 'BIGINT')} AS peak_mib FROM {{src}} WHERE regexp_matches(line, '[0-9] bytes|MiB')")
+_log("l6_early_stop", logs.early_stops, f"SELECT id, {_x('train_time:([0-9]+)ms', 'BIGINT')} AS time_ms, {_x('step:([0-9]+)/', 'BIGINT')} AS step FROM {{src}} WHERE regexp_matches(line, '^stopping_early')")
+_log("l10_throughput", logs.throughput, f"SELECT id, round({_x('train_time:([0-9]+)ms', 'BIGINT')} / CAST(greatest({_x('step:([0-9]+)/', 'BIGINT')}, 1) AS DOUBLE), 4) AS step_ms FROM {{src}} WHERE regexp_matches(line, 'train_time:[0-9]+ms')")
 
 BOARD = "(1, 'a', 1.2244, '2026-03-17'), (2, 'b', 1.2197, '2026-03-18'), (3, 'c', 1.2230, '2026-03-18'), (4, 'd', 1.1925, '2026-03-19'), (5, 'e', 1.1928, '2026-03-19'), (6, 'f', 1.0810, '2026-04-09')"
 

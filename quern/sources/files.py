@@ -18,7 +18,7 @@ def sidecar(spark: SparkSession, path: str) -> DataFrame:
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """``token_id, piece, score``; the id is the line's place, so the file is read as one partition (65,536 lines at most)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("token_id", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("token_id", "line"))
     return lines.select(F.col("token_id").cast("long"), F.split_part("line", F.lit("\t"), F.lit(1)).alias("piece"), F.split_part("line", F.lit("\t"), F.lit(2)).cast("double").alias("score"))
 
 
@@ -28,4 +28,4 @@ def results(spark: SparkSession, path: str) -> DataFrame:
 
 def submissions(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: path and the JSON text; fields are taken with ``get_json_object`` because their kinds differ."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("json"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("json"))
