@@ -58,9 +58,9 @@ def p3(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.col("tokens")[0].alias("first_token"), F.get("tokens", F.lit(1)).alias("second_token"), F.size("tokens").cast("long").alias("n"))
 
 
-@register("p4_token_range", f"WITH {TOKENS} SELECT doc_id, list_filter(tokens, lambda t: t < 0 OR t >= 200)[1] AS first_bad FROM tk WHERE len(list_filter(tokens, lambda t: t < 0 OR t >= 200)) > 0")
+@register("p4_token_range", f"WITH {TOKENS} SELECT doc_id, list_filter(tokens, lambda t: t < 0 OR t >= 190)[1] AS first_bad FROM tk WHERE len(list_filter(tokens, lambda t: t < 0 OR t >= 190)) > 0")
 def p4(spark: SparkSession, d: str) -> DataFrame:
-    return T.first_bad_token(T.byte_tokens(docs(spark, d)), 200)
+    return T.first_bad_token(T.byte_tokens(docs(spark, d)), 190)
 
 
 @register("p5_split_assignment", f"SELECT CASE WHEN doc_id < {NUM_VAL} THEN 'val' ELSE 'train' END AS split, count(*) AS docs FROM documents GROUP BY 1")
@@ -201,10 +201,10 @@ def u2(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@register("u3_unconsumed_keys", "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("u3_unconsumed_keys", "SELECT doc_id AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def u3(spark: SparkSession, d: str) -> DataFrame:
-    c, o = spark.read.parquet(f"{d}/customer.parquet"), spark.read.parquet(f"{d}/orders.parquet")
-    return c.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select(F.col("c_custkey").alias("key"))
+    """Keys of one table that the other did not use."""
+    return docs(spark, d).select("doc_id").join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("key"))
 
 
 @register("j2_dataset_tokenizer", "SELECT l.doc_id, coalesce(b.source, 'missing') AS source FROM labels l LEFT JOIN documents b ON l.doc_id = b.doc_id")

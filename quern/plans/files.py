@@ -9,21 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tokens as T
-from ..sources.tokshard import read_shards, write_shards
+from ..sources.tokshard import read_range, read_shards, shard_sizes, write_shards
 from ..streaming import stream
-from .corpus import PARTS, PLACED, SHARD, docs, placed
+from .corpus import PARTS, PLACED, SHARD, TOKENS, docs, placed
 from .registry import register, shared_folder
 
 
-@register("s9_shard_roundtrip", f"WITH {PLACED}, {PARTS}, s AS (SELECT split, shard_id, sum(hi - lo) AS n FROM pt GROUP BY 1, 2) SELECT split || '_' || printf('%06d', shard_id) || '.bin' AS name, CAST(n AS BIGINT) AS n FROM s")
-def s9(spark: SparkSession, d: str) -> DataFrame:
-    """Shards are packed, written (S9, S10), read back and checked (S5, S6, S8); a shard's tokens meet in one row of fixed size."""
+SIZES = f"WITH {PLACED}, {PARTS}, s AS (SELECT split, shard_id, sum(hi - lo) AS n FROM pt GROUP BY 1, 2) SELECT split || '_' || printf('%06d', shard_id) || '.bin' AS name, CAST(n AS BIGINT) AS n FROM s"
+
+
+def exported(spark: SparkSession, d: str) -> str:
+    """Folder of the byte-token export; a shard's pieces are streamed to its file in order."""
     parts = T.pack(placed(spark, d), SHARD).join(T.byte_tokens(docs(spark, d)), "doc_id")
-    piece = F.expr("slice(tokens, cast(lo + 1 as int), cast(hi - lo as int))")
-    shards = parts.select("split", "shard_id", "doc_id", piece.alias("t")).groupBy("split", "shard_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("p"))
     path = shared_folder(spark, "shards")
-    write_shards(shards.select("split", "shard_id", F.flatten(F.transform("p", lambda x: x["t"])).alias("tokens")), path)
-    return read_shards(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "n")
+    write_shards(parts.select("split", "shard_id", "doc_id", F.expr("slice(tokens, cast(lo + 1 as int), cast(hi - lo as int))").alias("tokens")), path, order="doc_id")
+    return path
+
+
+@register("s9_shard_roundtrip", SIZES)
+def s9(spark: SparkSession, d: str) -> DataFrame:
+    """Shards are packed, written (S9, S10), read back and checked (S5, S8)."""
+    return read_shards(spark, exported(spark, d)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "n")
+
+
+@register("s6_shard_sizes", SIZES)
+def s6(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts of shard files whose content is not read."""
+    return shard_sizes(spark, exported(spark, d)).select("name", "n")
+
+
+S7 = f"WITH {PLACED}, {TOKENS}, t AS (SELECT \"offset\", unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM pl JOIN tk USING (doc_id) WHERE split = 'train') SELECT \"offset\" + i AS pos, token FROM t WHERE \"offset\" + i >= 99900 AND \"offset\" + i < 100200"
+
+
+@register("s7_random_access", S7)
+def s7(spark: SparkSession, d: str) -> DataFrame:
+    """A range of the training stream across a shard's border."""
+    return read_range(spark, exported(spark, d), "train", 99_900, 100_200)
 
 
 @register("p2_sentencepiece_ids")

@@ -378,3 +378,56 @@ def q1h(spark: SparkSession, d: str) -> DataFrame:
     """Scales of Q1 after their round trip through half precision."""
     q = Q.int8_rows(rows(spark, d))
     return q.select("vec_id", Q.half(F.col("scale")).alias("stored")).withColumn("stored", F.round("stored", 9))
+
+
+def fitting_prune(codes: np.ndarray, order: np.ndarray, budget: int) -> tuple[int, int]:
+    """The least n, by bisection, for which the codes without the first n of ``order`` compress to the budget, and their size."""
+
+    def size(n: int) -> int:
+        left = codes.copy()
+        left.reshape(-1)[order[:n]] = 0
+        return len(zlib.compress(left.tobytes(), 9))
+
+    low, high = 0, len(order)
+    while low < high:
+        n = (low + high) // 2
+        low, high = (low, n) if size(n) <= budget else (n + 1, high)
+    return low, size(low)
+
+
+@register("t4s_pruning_to_budget")
+def t4s(spark: SparkSession, d: str) -> DataFrame:
+    """Unit codes are zeroed by squared scale until a matrix fits 97 % of its compressed size; an artifact has 16 MB at most, so a task holds one."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
+        codes = np.stack(pdf["q"].to_numpy()).astype(np.int8)
+        at = np.flatnonzero(np.abs(codes.reshape(-1)) == 1)
+        order = at[np.argsort(np.repeat(pdf["scale"].to_numpy() ** 2, codes.shape[1])[at], kind="stable")]
+        full = len(zlib.compress(codes.tobytes(), 9))
+        n, size = fitting_prune(codes, order, full * 97 // 100)
+        return pd.DataFrame({"label": [int(pdf["label"].iloc[0])], "units": [len(at)], "pruned": [n], "bytes": [size], "fits": [size <= full * 97 // 100]})
+
+    q = Q.amax_rows(rows(spark, d), 7).select("vec_id", "label", "scale", "q")
+    return q.groupBy("label").applyInPandas(one, "label int, units long, pruned long, bytes long, fits boolean")
+
+
+@register("t9_smaller_encoding")
+def t9(spark: SparkSession, d: str) -> DataFrame:
+    """Ternary codes of each matrix as base-3 digits and as masks of non-zero and of negative codes; the smaller after LZMA is kept."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        import lzma
+
+        q = np.concatenate(pdf.sort_values("vec_id")["q"].to_numpy()).astype(np.int64)
+        digits = np.concatenate([q + 1, np.zeros(-len(q) % 5, np.int64)]).reshape(-1, 5)
+        base3 = (digits @ 3 ** np.arange(5)).astype(np.uint8)
+        masks = np.packbits(q != 0), np.packbits(q[q != 0] < 0)
+        sizes = [len(lzma.compress(x)) for x in (base3.tobytes(), masks[0].tobytes() + masks[1].tobytes())]
+        back = ((base3[:, None].astype(np.int64) // 3 ** np.arange(5)) % 3 - 1).reshape(-1)[: len(q)]
+        other = np.unpackbits(masks[0])[: len(q)].astype(np.int64)
+        other[other == 1] = 1 - 2 * np.unpackbits(masks[1])[: int(other.sum())].astype(np.int64)
+        return pd.DataFrame({"label": [int(pdf["label"].iloc[0])], "base3": [sizes[0]], "masks": [sizes[1]], "kept": ["base3" if sizes[0] <= sizes[1] else "masks"], "same": [bool((back == q).all() and (other == q).all())]})
+
+    t = ternary(spark, d).join(rows(spark, d).select("vec_id", "label"), "vec_id").select("label", "vec_id", "q")
+    return t.groupBy("label").applyInPandas(one, "label int, base3 long, masks long, kept string, same boolean")

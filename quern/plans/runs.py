@@ -127,6 +127,14 @@ def a20p(spark: SparkSession, d: str) -> DataFrame:
     return welch(seeds(spark), "new", "old").select(F.round("t", 4).alias("t"), F.round(t_cdf("t", "df"), 8).alias("p"))
 
 
+@register("l8p_significant_record")
+def l8p(spark: SparkSession, d: str) -> DataFrame:
+    """Both halves of the rule: at least 0.005 nats better than the best before, and p under 0.01 (one-sided)."""
+    gain = seeds(spark).agg((F.avg(F.when(F.col("grp") == "old", F.col("v"))) - F.avg(F.when(F.col("grp") == "new", F.col("v")))).alias("gain")).select((F.col("gain") * F.log(F.lit(2.0)) * 2.3).alias("gain_nats"))
+    test = welch(seeds(spark), "new", "old").select(t_cdf("t", "df").alias("p"))
+    return gain.join(F.broadcast(test)).select(F.round("gain_nats", 6).alias("gain_nats"), F.round("p", 6).alias("p"), ((F.col("gain_nats") >= 0.005) & (F.col("p") < 0.01)).alias("accepted"))
+
+
 RUNS4 = "(1.1927), (1.1935), (1.1921), (1.1929)"
 
 

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 # fixed values of the format
@@ -41,7 +42,7 @@ def shard_tokens(data: bytes, header_only: bool = False) -> int | np.ndarray:
     return np.frombuffer(data, "<u2", offset=HEADER * 4)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
+def read_shards(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``path, n, tokens array<int>`` of each shard file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +55,26 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, n long, tokens array<int>")
 
 
+def shard_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """``path, name, n`` of each shard file, from its size alone; nothing of the files is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), ((F.col("length") - 4 * HEADER) / 2).cast("long").alias("n"))
+
+
+def read_range(spark: SparkSession, path: str, split: str, start: int, stop: int) -> DataFrame:
+    """``pos, token`` of the places start..stop-1 of a split's stream; only the shards that hold them are read."""
+    before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    sizes = shard_sizes(spark, path).where(F.col("name").startswith(f"{split}_")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    held = sizes.where((F.col("first") < stop) & (F.col("first") + F.col("n") > start)).select("path", "first").collect()  # names and places of those few
+    firsts = spark.createDataFrame([(r["path"], r["first"]) for r in held], "path string, first long")
+    if not held:
+        return spark.createDataFrame([], "pos long, token int")
+    rows = read_shards(spark, [r["path"] for r in held]).join(F.broadcast(firsts), "path")
+    lo, hi = F.greatest(F.lit(start) - F.col("first"), F.lit(0)), F.least(F.lit(stop) - F.col("first"), F.col("n"))
+    part = F.slice("tokens", (lo + 1).cast("int"), (hi - lo).cast("int"))
+    return rows.select((F.col("first") + lo).alias("from"), F.posexplode(part).alias("i", "token")).select((F.col("from") + F.col("i")).alias("pos"), "token")
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     names: list[str]
@@ -66,15 +87,37 @@ class _ShardWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         os.makedirs(self.path, exist_ok=True)
-        names = []
-        for row in rows:
+        names: list[str] = []
+        out, n = None, 0
+        for row in rows:  # pieces of one shard follow each other
             name = f"{row['split']}_{row['shard_id']:06d}.bin"
-            with open(os.path.join(self.path, f".{name}.{os.getpid()}"), "wb") as f:
-                f.write(encode_shard(np.asarray(row["tokens"])))
-            os.replace(os.path.join(self.path, f".{name}.{os.getpid()}"), os.path.join(self.path, name))
-            names.append(name)
+            if not names or name != names[-1]:
+                self._close(out, n, names)
+                if name in names:
+                    raise ValueError(f"the pieces of {name} do not follow each other")
+                names.append(name)
+                out, n = open(self._part(name), "wb"), 0
+                out.write(bytes(4 * HEADER))
+            piece = encode_shard(np.asarray(row["tokens"]))[4 * HEADER :]
+            out.write(piece)
+            n += len(piece) // 2
+        self._close(out, n, names)
         return _Written(names)
 
+    def _part(self, name: str) -> str:
+        return os.path.join(self.path, f".{name}.{os.getpid()}")
+
+    def _close(self, out, n: int, names: list[str]) -> None:
+        """The header is known at the end; a shard gets its name when it is whole."""
+        if out is None:
+            return
+        if n >= 2**31:
+            raise ValueError("a shard holds under 2**31 tokens")
+        out.seek(0)
+        out.write(np.array([MAGIC, VERSION, n], "<i4").tobytes())
+        out.close()
+        os.replace(self._part(names[-1]), os.path.join(self.path, names[-1]))
+
     def commit(self, messages: list) -> None:
         """Files that this export did not write are stale and go."""
         if self.overwrite:
@@ -91,7 +134,7 @@ class _ShardWriter(DataSourceWriter):
 
 
 class TokenShards(DataSource):
-    """Sink for rows (split, shard_id, tokens); ``path`` must be a folder that all executors mount."""
+    """Sink for rows (split, shard_id, tokens), pieces of shards in order; ``path`` must be a folder that all executors mount."""
 
     @classmethod
     def name(cls) -> str:
@@ -101,6 +144,9 @@ class TokenShards(DataSource):
         return _ShardWriter(self.options, overwrite)
 
 
-def write_shards(shards: DataFrame, path: str) -> None:
+def write_shards(shards: DataFrame, path: str, order: str | None = None) -> None:
+    """Write rows (split, shard_id, tokens); with ``order``, a shard's rows are its pieces in that order and meet in one task, streamed."""
     shards.sparkSession.dataSource.register(TokenShards)
+    if order:
+        shards = shards.repartition("split", "shard_id").sortWithinPartitions("split", "shard_id", order)
     shards.select("split", "shard_id", "tokens").write.format("tokshard").mode("overwrite").option("path", path).save()

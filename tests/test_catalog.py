@@ -53,3 +53,22 @@ def test_round_trips(spark):
     assert q["q17_byte_shuffle"](spark, DATA).where("NOT same").count() == 0
     assert q["q23_tagged_container"](spark, DATA).where("NOT same").count() == 0
     assert q["q7_gptq"](spark, DATA).where("NOT better").count() == 0
+    assert q["t9_smaller_encoding"](spark, DATA).where("NOT same OR (kept = 'base3') <> (base3 <= masks)").count() == 0
+    assert q["t4s_pruning_to_budget"](spark, DATA).where("NOT fits OR pruned > units").count() == 0
+    assert q["l8p_significant_record"](spark, DATA).first()["accepted"]
+
+
+def test_bisection_finds_the_least():
+    import zlib
+
+    import numpy as np
+
+    from quern.plans.quantization import fitting_prune
+
+    codes = np.random.default_rng(1).choice([0, 1, -1, 5], 4000).astype(np.int8).reshape(40, 100)
+    order = np.flatnonzero(np.abs(codes.reshape(-1)) == 1)
+    budget = len(zlib.compress(codes.tobytes(), 9)) * 9 // 10
+    n, size = fitting_prune(codes, order, budget)
+    less = codes.copy()
+    less.reshape(-1)[order[: n - 1]] = 0
+    assert 0 < n < len(order) and size <= budget < len(zlib.compress(less.tobytes(), 9))
