@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -94,6 +94,31 @@ def unpacked(numbers: Column, base: int, per: int, n: Column) -> Column:
     return F.slice(digits, 1, n)
 
 
+def exact_quantile(cells: DataFrame, by: str, value: Column, q: float, most: int = 200_000) -> DataFrame:
+    """``by, quantile``: the exact quantile of each group, interpolated linearly.
+
+    Histograms of 1,024 bins narrow the values down to the bins that hold the
+    wanted ranks, until a group has at most ``most`` values left, or only equal
+    ones; only these are sorted.  So no task holds a group.
+    """
+    v = cells.select(by, value.alias("v")).where("v IS NOT NULL")
+    near = v.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.count("*").alias("inside"), F.lit(0).cast("long").alias("below"))
+    k1, k2 = F.floor(F.lit(q) * (F.col("n") - 1)) - F.col("below"), F.ceil(F.lit(q) * (F.col("n") - 1)) - F.col("below")
+    while near.where((F.col("inside") > most) & (F.col("lo") < F.col("hi"))).limit(1).count():
+        held = v.join(F.broadcast(near), by).where("v BETWEEN lo AND hi")  # near has a row for each group
+        share = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0)
+        bins = held.groupBy(by, "n", "below", F.least(F.floor(share * 1024), F.lit(1023)).alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        upto = bins.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy("bin")))
+        kept = upto.where((F.col("upto") > k1) & (F.col("upto") - F.col("c") <= k2))
+        near = kept.groupBy(by, "n").agg(F.min("a").alias("lo"), F.max("b").alias("hi"), F.sum("c").alias("inside"), (F.max("below") + F.min(F.col("upto") - F.col("c"))).alias("below"))
+        near = near.sparkSession.createDataFrame(near.collect(), near.schema)
+    held = v.join(F.broadcast(near), by).where("v BETWEEN lo AND hi").groupBy(by, "n", "below", "v").agg(F.count("*").alias("c"))
+    upto = held.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy("v")))
+    ends = upto.groupBy(by, "n").agg(F.min(F.when(F.col("upto") > k1, F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > k2, F.col("v"))).alias("b"))
+    at = F.lit(q) * (F.col("n") - 1)
+    return ends.select(by, (F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))).alias("quantile"))
+
+
 def gram(rows: DataFrame, x: str = "x", by: str | None = None) -> DataFrame:
     """``i, j, value`` of X'X (of each group ``by``): each batch adds up its own rows' products, then these are added."""
 

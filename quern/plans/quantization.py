@@ -57,10 +57,10 @@ SELECT label, round(any_value(scale), 9) AS scale, CAST(sum(greatest(-127.0::DOU
 @register("q2_int8_tensors", TENSOR)
 def q2(spark: SparkSession, d: str) -> DataFrame:
     v = cells(spark, d)
-    clip = v.groupBy("label").agg(F.percentile(F.abs("v"), F.lit(Q.CLIP_Q)).alias("clip"))
+    clip = Q.exact_quantile(v, "label", F.abs("v"), Q.CLIP_Q).withColumnRenamed("quantile", "clip")
     s = clip.withColumn("scale", F.when(F.col("clip") == 0, F.lit(1.0)).otherwise(F.col("clip") / 127))
     code = F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(F.greatest(-F.col("clip"), F.least("clip", "v")) / F.col("scale"))))
-    return v.join(s, "label").groupBy("label").agg(F.round(F.first("scale"), 9).alias("scale"), F.sum(code).cast("long").alias("code_sum"))
+    return v.join(F.broadcast(s), "label").groupBy("label").agg(F.round(F.first("scale"), 9).alias("scale"), F.sum(code).cast("long").alias("code_sum"))
 
 
 @register("q3_dequantize_error", f"WITH {int8_sql(Q.CLIP_Q, 127)} SELECT vec_id, max(abs(v - q * scale)) <= any_value(scale) / 2 + 1e-9 OR max(abs(v)) > 127 * any_value(scale) AS within FROM q GROUP BY vec_id")
@@ -190,7 +190,7 @@ def q16(spark: SparkSession, d: str) -> DataFrame:
 
 @register("a12_exact_quantile", f"WITH {LONG} SELECT label, round(quantile_cont(abs(v), 0.999), 6) AS q999 FROM v GROUP BY 1")
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    return cells(spark, d).groupBy("label").agg(F.round(F.percentile(F.abs("v"), F.lit(0.999)), 6).alias("q999"))
+    return Q.exact_quantile(cells(spark, d), "label", F.abs("v"), 0.999).select("label", F.round("quantile", 6).alias("q999"))
 
 
 @register("a14_row_deviation", f"WITH {LONG} SELECT vec_id, round(stddev_samp(v), 6) AS sd FROM v GROUP BY 1")
@@ -240,7 +240,7 @@ def t4(spark: SparkSession, d: str) -> DataFrame:
 @register("t5_magnitude_pruning", f"WITH {LONG}, c AS (SELECT label, quantile_cont(abs(v), 0.03) AS t FROM v GROUP BY 1) SELECT label, count(*) FILTER (abs(v) < t) AS pruned, round(any_value(t), 6) AS threshold FROM v JOIN c USING (label) GROUP BY 1")
 def t5(spark: SparkSession, d: str) -> DataFrame:
     v = cells(spark, d)
-    t = v.groupBy("label").agg(F.percentile(F.abs("v"), F.lit(0.03)).alias("t"))
+    t = Q.exact_quantile(v, "label", F.abs("v"), 0.03).withColumnRenamed("quantile", "t")  # a row for each matrix
     return v.join(F.broadcast(t), "label").groupBy("label").agg(F.sum((F.abs("v") < F.col("t")).cast("long")).alias("pruned"), F.round(F.first("t"), 6).alias("threshold"))
 
 

@@ -114,3 +114,17 @@ def test_nearest_plane_against_plain_recursion():
             done.append(k)
     err = lambda q: np.einsum("ri,ij,rj->", w - 0.3 * q, g, w - 0.3 * q)
     assert err(got) <= err(np.clip(np.rint(w / 0.3), -4, 4))
+
+
+def test_exact_quantile_narrows_down(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators.quant import exact_quantile
+
+    r = np.random.default_rng(3)
+    rows = [(k, float(x)) for k, vs in ((1, r.standard_normal(4000)), (2, r.integers(0, 3, 3000)), (3, [7.0]), (4, r.exponential(size=2500) ** 4)) for x in vs]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for q in (0.0, 0.03, 0.5, 0.999, 1.0):
+        got = {r["g"]: r["quantile"] for r in exact_quantile(df, "g", F.col("v"), q, most=50).collect()}
+        for g in (1, 2, 3, 4):
+            assert abs(got[g] - np.quantile([v for k, v in rows if k == g], q)) < 1e-9
