@@ -121,6 +121,13 @@ def w16(spark: SparkSession, d: str) -> DataFrame:
 
 @register("w18_previous_blend", "WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT vec_id, i, round(0.75 * x + 0.25 * coalesce(lag(x) OVER (PARTITION BY i ORDER BY vec_id), 0), 5) + 0.0 AS blended FROM x")
 def w18(spark: SparkSession, d: str) -> DataFrame:
-    x = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.col("x").cast("double").alias("x"))
-    prev = F.coalesce(F.lag("x").over(Window.partitionBy("i").orderBy("vec_id")), F.lit(0.0))
-    return x.select("vec_id", "i", (F.round(0.75 * F.col("x") + 0.25 * prev, 5) + F.lit(0.0)).alias("blended"))
+    """Each vector with a part of the one before: buckets of ids on their own, and the last vector of the bucket before."""
+    x = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    x = x.withColumn("bucket", F.expr(f"vec_id div {T.bucket_width(x, 'vec_id')}"))
+    ends = x.groupBy("bucket").agg(F.max_by("x", "vec_id").alias("end"))
+    before = ends.select("bucket", F.lag("end").over(Window.orderBy("bucket")).alias("end"))  # a row for each bucket
+    prev = F.coalesce(F.lag("x").over(Window.partitionBy("bucket").orderBy("vec_id")), F.col("end"))
+    both = x.join(before, "bucket").select("vec_id", "x", prev.alias("p"))
+    each = both.select("vec_id", "p", F.posexplode("x").alias("k", "v"))
+    blend = 0.75 * F.col("v") + 0.25 * F.coalesce(F.get("p", F.col("k")), F.lit(0.0))
+    return each.select("vec_id", (F.col("k") + 1).cast("long").alias("i"), (F.round(blend, 5) + F.lit(0.0)).alias("blended"))
