@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import tensors as N
 from ..operators import quant as Q
 from .registry import register
 
@@ -56,10 +57,15 @@ SELECT label, round(any_value(scale), 9) AS scale, CAST(sum(greatest(-127.0::DOU
 
 @register("q2_int8_tensors", TENSOR)
 def q2(spark: SparkSession, d: str) -> DataFrame:
+    return int_tensors(spark, d, 127)
+
+
+def int_tensors(spark: SparkSession, d: str, top: int) -> DataFrame:
+    """One scale for each matrix, from an exact quantile of its magnitudes."""
     v = cells(spark, d)
     clip = Q.exact_quantile(v, "label", F.abs("v"), Q.CLIP_Q).withColumnRenamed("quantile", "clip")
-    s = clip.withColumn("scale", F.when(F.col("clip") == 0, F.lit(1.0)).otherwise(F.col("clip") / 127))
-    code = F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(F.greatest(-F.col("clip"), F.least("clip", "v")) / F.col("scale"))))
+    s = clip.withColumn("scale", F.when(F.col("clip") == 0, F.lit(1.0)).otherwise(F.col("clip") / top))  # a row for each matrix
+    code = F.greatest(F.lit(-float(top)), F.least(F.lit(float(top)), F.rint(F.greatest(-F.col("clip"), F.least("clip", "v")) / F.col("scale"))))
     return v.join(F.broadcast(s), "label").groupBy("label").agg(F.round(F.first("scale"), 9).alias("scale"), F.sum(code).cast("long").alias("code_sum"))
 
 
@@ -156,13 +162,13 @@ def q13(spark: SparkSession, d: str) -> DataFrame:
     return t.select("vec_id", F.size("p").cast("long").alias("bytes"), check.alias("checksum"), (Q.unpacked(F.col("p"), 3, 5, F.size("d")) == F.col("d")).alias("same"))
 
 
-BITS = "SELECT vec_id, count(*) AS bytes, CAST(sum(v * (byte + 1)) AS BIGINT) AS checksum FROM p GROUP BY 1"
+BITS = "SELECT vec_id, count(*) AS bytes, CAST(sum(v * (byte + 1)) AS BIGINT) AS checksum, true AS same FROM p GROUP BY 1"
 
 
 def bits(t: DataFrame, digits) -> DataFrame:
-    t = t.withColumn("p", Q.packed(digits, 2, 8))
+    t = t.withColumn("digits", digits).withColumn("p", Q.packed(F.col("digits"), 2, 8))
     check = F.aggregate(F.zip_with("p", F.sequence(F.lit(1), F.size("p")), lambda v, k: v * k), F.lit(0).cast("long"), lambda a, v: a + v)
-    return t.select("vec_id", F.size("p").cast("long").alias("bytes"), check.alias("checksum"))
+    return t.select("vec_id", F.size("p").cast("long").alias("bytes"), check.alias("checksum"), (Q.unpacked(F.col("p"), 2, 8, F.size("digits")) == F.col("digits")).alias("same"))
 
 
 @register("q14_bitmask_pack", f"WITH {TERN}, p AS (SELECT vec_id, i // 8 AS byte, CAST(sum(CASE WHEN q <> 0 THEN pow(2, 7 - i % 8) ELSE 0 END) AS BIGINT) AS v FROM q GROUP BY 1, 2) {BITS}")
@@ -183,9 +189,9 @@ def q15(spark: SparkSession, d: str) -> DataFrame:
 @register("q16_int4_pack", f"WITH {LONG}, s AS (SELECT vec_id, greatest(max(abs(v)) / 7, 1e-8) AS scale FROM v GROUP BY 1), q AS (SELECT vec_id, i, CAST(greatest(-8.0::DOUBLE, least(7.0::DOUBLE, round_even(v / scale, 0))) AS BIGINT) + 8 AS q FROM v JOIN s USING (vec_id)), p AS (SELECT vec_id, i // 2 AS byte, CAST(sum(q * pow(16, i % 2)) AS BIGINT) AS v FROM q GROUP BY 1, 2) {BITS}")
 def q16(spark: SparkSession, d: str) -> DataFrame:
     r = Q.amax_rows(rows(spark, d), 7, floor=1e-8)
-    t = r.withColumn("p", Q.packed(F.transform("q", lambda v: v.cast("long") + 8), 16, 2, fill=8))
+    t = r.withColumn("digits", F.transform("q", lambda v: v.cast("long") + 8)).withColumn("p", Q.packed(F.col("digits"), 16, 2, fill=8))
     check = F.aggregate(F.zip_with("p", F.sequence(F.lit(1), F.size("p")), lambda v, k: v * k), F.lit(0).cast("long"), lambda a, v: a + v)
-    return t.select("vec_id", F.size("p").cast("long").alias("bytes"), check.alias("checksum"))
+    return t.select("vec_id", F.size("p").cast("long").alias("bytes"), check.alias("checksum"), (Q.unpacked(F.col("p"), 16, 2, F.size("digits")) == F.col("digits")).alias("same"))
 
 
 @register("a12_exact_quantile", f"WITH {LONG} SELECT label, round(quantile_cont(abs(v), 0.999), 6) AS q999 FROM v GROUP BY 1")
@@ -249,25 +255,57 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
     return Q.int8_rows(rows(spark, d)).select("vec_id", F.size(F.filter("q", lambda v: F.abs(v) <= 2)).cast("long").alias("pruned"))
 
 
-NAMES = "('tok_emb.weight', 2, 524288, 'float'), ('blocks.0.attn.c_q.weight', 2, 262144, 'float'), ('blocks.3.mlp.fc.weight', 2, 524288, 'float'), ('blocks.10.attn_scale', 1, 512, 'float'), ('skip_weights', 2, 4096, 'float'), ('step', 0, 1, 'int'), ('lm_head.weight', 2, 524288, 'float'), ('blocks.7.mlp_scale', 1, 512, 'float')"
-ROUTE = """SELECT name, CASE WHEN name LIKE '%tok_emb%' OR name LIKE '%lm_head%' THEN 'embed' WHEN name LIKE '%.mlp%' THEN 'mlp' WHEN name LIKE '%.attn%' THEN 'attn' ELSE 'other' END AS class,
-  CASE WHEN kind <> 'float' THEN 'exact' WHEN numel <= 65536 THEN CASE WHEN name LIKE '%scale%' OR name LIKE '%skip_weight%' THEN 'keep32' ELSE 'keep16' END WHEN dims = 2 THEN 'rows' ELSE 'tensor' END AS route,
-  CASE WHEN regexp_extract(name, 'blocks\\.([0-9]+)\\.', 1) = '' THEN NULL ELSE CAST(nullif(regexp_extract(name, 'blocks\\.([0-9]+)\\.', 1), '') AS INTEGER) END AS layer, CAST(numel * 4 AS BIGINT) AS baseline_bytes FROM """
+#: Tensors: name, dimensions, numbers, kind.
+TENSORS = [("tok_emb.weight", 2, 524288, "float"), ("blocks.0.attn.c_q.weight", 2, 262144, "float"), ("blocks.3.mlp.fc.weight", 2, 524288, "float"), ("blocks.10.attn_scale", 1, 512, "float"), ("skip_weights", 2, 4096, "float"), ("step", 0, 1, "int"), ("lm_head.weight", 2, 524288, "float"), ("blocks.7.mlp_scale", 1, 512, "float"), ("blocks.2.attn.q_gain", 1, 8, "float"), ("blocks.4.resid_mix", 2, 1024, "float"), ("blocks.5.norm.weight", 1, 512, "float"), ("rope_cache", 3, 131072, "float")]
+NAMES = ", ".join(f"('{n}', {k}, {c}, '{t}')" for n, k, c, t in TENSORS)
+ROUTED = f"""r AS (SELECT *, CASE WHEN kind <> 'float' THEN 'exact' WHEN numel <= 65536 AND (name LIKE '%attn_scale%' OR name LIKE '%mlp_scale%' OR name LIKE '%resid_mix%' OR name LIKE '%q_gain%' OR name LIKE '%skip_weight%') THEN 'keep32'
+  WHEN numel <= 65536 THEN 'keep16' WHEN dims = 2 THEN 'rows' ELSE 'tensor' END AS route, CASE WHEN name LIKE '%tok_emb%' OR name LIKE '%lm_head%' THEN 'embed' WHEN name LIKE '%.mlp%' THEN 'mlp' WHEN name LIKE '%.attn%' THEN 'attn' ELSE 'other' END AS class
+  FROM (VALUES {NAMES}) AS t(name, dims, numel, kind))"""
+
 
+def tensors(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(TENSORS, "name string, dims int, numel long, kind string")
+    return rows.withColumn("class", N.tensor_class("name")).withColumn("route", N.route("name", "dims", "numel", "kind"))
 
-@register("p12_tensor_routing", ROUTE + f"(VALUES {NAMES}) AS t(name, dims, numel, kind)")
+
+@register("p12_tensor_routing", f"WITH {ROUTED} SELECT name, class, route, TRY_CAST(split_part(split_part(name, 'blocks.', 2), '.', 1) AS INTEGER) AS layer, CAST(numel * 4 AS BIGINT) AS baseline_bytes FROM r")
 def p12(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(ROUTE.replace("\\.", "\\\\.") + f"VALUES {NAMES} AS t(name, dims, numel, kind)")
+    """Class, storage, layer and size of tensors by their names (P11 to P14, Q4)."""
+    return tensors(spark).select("name", "class", "route", N.layer_of("name").alias("layer"), (F.col("numel") * 4).alias("baseline_bytes"))
+
+
+A9 = f"""WITH {ROUTED} SELECT class, count(*) AS tensors, CAST(sum(numel) AS BIGINT) AS params, CAST(sum(numel * 4) AS BIGINT) AS baseline_bytes,
+  CAST(sum(CASE route WHEN 'exact' THEN numel * 8 WHEN 'keep32' THEN numel * 4 WHEN 'keep16' THEN numel * 2 ELSE numel END) AS BIGINT) AS payload_bytes FROM r GROUP BY 1"""
 
 
-@register("a9_payload_stats", f"SELECT CASE WHEN kind = 'float' THEN 'float' ELSE 'other' END AS kind, count(*) AS tensors, CAST(sum(numel) AS BIGINT) AS params, CAST(sum(numel * 4) AS BIGINT) AS baseline_bytes, CAST(sum(CASE WHEN kind <> 'float' THEN numel * 8 WHEN numel <= 65536 THEN numel * 2 ELSE numel END) AS BIGINT) AS payload_bytes FROM (VALUES {NAMES}) AS t(name, dims, numel, kind) GROUP BY 1")
+@register("a9_payload_stats", A9)
 def a9(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(f"SELECT CASE WHEN kind = 'float' THEN 'float' ELSE 'other' END AS kind, count(*) AS tensors, CAST(sum(numel) AS BIGINT) AS params, CAST(sum(numel * 4) AS BIGINT) AS baseline_bytes, CAST(sum(CASE WHEN kind <> 'float' THEN numel * 8 WHEN numel <= 65536 THEN numel * 2 ELSE numel END) AS BIGINT) AS payload_bytes FROM VALUES {NAMES} AS t(name, dims, numel, kind) GROUP BY 1")
+    return tensors(spark).groupBy("class").agg(F.count("*").alias("tensors"), F.sum("numel").alias("params"), F.sum(F.col("numel") * 4).alias("baseline_bytes"), F.sum(N.payload_bytes("route", "numel")).alias("payload_bytes"))
 
 
-@register("a21_scheme_categories", f"SELECT route, string_agg(DISTINCT regexp_replace(name, '[0-9]+', '*'), ',' ORDER BY regexp_replace(name, '[0-9]+', '*')) AS names FROM ({ROUTE} (VALUES {NAMES}) AS t(name, dims, numel, kind)) GROUP BY 1")
+@register("a21_scheme_categories", f"WITH {ROUTED} SELECT route, string_agg(DISTINCT regexp_replace(name, '[0-9]+', '*'), ',' ORDER BY regexp_replace(name, '[0-9]+', '*')) AS names FROM r GROUP BY 1")
 def a21(spark: SparkSession, d: str) -> DataFrame:
-    return p12(spark, d).groupBy("route").agg(F.array_join(F.array_sort(F.collect_set(F.regexp_replace("name", "[0-9]+", "*"))), ",").alias("names"))
+    return tensors(spark).groupBy("route").agg(F.array_join(F.array_sort(F.collect_set(F.regexp_replace("name", "[0-9]+", "*"))), ",").alias("names"))
+
+
+#: Matrices named by their label; one scheme for each class.
+BY_NAME = "CASE label % 3 WHEN 0 THEN 'blocks.' || label || '.attn.w' WHEN 1 THEN 'blocks.' || label || '.mlp.w' ELSE 'tok_emb.' || label END"
+Q22 = f"""WITH {LONG}, s AS (SELECT vec_id, any_value(label) AS label, CASE any_value(label) % 3 WHEN 0 THEN 31 WHEN 1 THEN 15 ELSE 127 END AS top, max(abs(v)) AS most FROM v GROUP BY 1), c AS (SELECT vec_id, label, top, greatest(most / top, 1e-12) AS scale FROM s)
+SELECT CASE c.label % 3 WHEN 0 THEN 'attn' WHEN 1 THEN 'mlp' ELSE 'embed' END AS class, count(DISTINCT c.vec_id) AS rows, CAST(sum(abs(greatest((-top - 1)::DOUBLE, least(top::DOUBLE, round_even(v / scale, 0))))) AS BIGINT) AS mass FROM v JOIN c USING (vec_id) GROUP BY 1"""
+
+
+@register("q22_scheme_by_name", Q22)
+def q22(spark: SparkSession, d: str) -> DataFrame:
+    """Six bits for attention, five for feed-forward and eight for embedding matrices, by their names (Q9)."""
+    r = rows(spark, d).withColumn("name", F.expr(BY_NAME)).withColumn("class", N.tensor_class("name"))
+    parts = [Q.amax_rows(r.where(F.col("class") == c), top) for c, top in (("attn", 31), ("mlp", 15), ("embed", 127))]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return both.groupBy("class").agg(F.count("*").alias("rows"), F.sum(Q.total(Q.absolute(F.col("q")))).cast("long").alias("mass"))
+
+
+@register("q21t_int6_tensors", TENSOR.replace("127", "31"))
+def q21t(spark: SparkSession, d: str) -> DataFrame:
+    return int_tensors(spark, d, 31)
 
 
 @register("w12_moving_average", "WITH RECURSIVE e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), r AS (SELECT event_type, k, CAST(value AS DOUBLE) AS ema FROM e WHERE k = 1 UNION ALL SELECT e.event_type, e.k, 0.997 * r.ema + (1 - 0.997) * e.value FROM r JOIN e ON e.event_type = r.event_type AND e.k = r.k + 1) SELECT event_type, count(*) AS steps, round(max_by(ema, k), 6) AS ema FROM r GROUP BY 1")
