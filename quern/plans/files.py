@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tokens as T
+from ..sources.files import count_lines, jsonl_documents
 from ..sources.tokshard import read_range, read_shards, shard_sizes, write_shards
 from ..streaming import stream
 from .corpus import PARTS, PLACED, SHARD, TOKENS, docs, placed
@@ -91,3 +92,21 @@ def r1s(spark: SparkSession, d: str) -> DataFrame:
     q = stream.running_counts(stream.parquet_stream(spark, f"{d}/documents.parquet*", schema)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared_folder(spark, "live")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+def jsonl(spark: SparkSession, d: str) -> str:
+    """Folder with the documents as JSON lines."""
+    path = shared_folder(spark, "jsonl")
+    docs(spark, d).select("text", "lang").write.option("ignoreNullFields", False).json(path)
+    return path
+
+
+@register("s1j_jsonl_scan", "SELECT CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, count(*) AS docs FROM documents GROUP BY 1")
+def s1j(spark: SparkSession, d: str) -> DataFrame:
+    """Documents from JSON lines, of which only the text is taken."""
+    return jsonl_documents(spark, jsonl(spark, d)).groupBy(F.octet_length("text").cast("long").alias("n_bytes")).agg(F.count("*").alias("docs"))
+
+
+@register("s2j_jsonl_count", "SELECT count(*) AS docs FROM documents")
+def s2j(spark: SparkSession, d: str) -> DataFrame:
+    return count_lines(spark, jsonl(spark, d))

@@ -171,13 +171,19 @@ def r5(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT n, n div 1024 * 1024 AS usable, n div 1024 * 1024 + 1 AS taken, n div 1024 = 0 AS error FROM VALUES (5000), (1024), (1000), (4097) AS v(n)")
 
 
-@register("r6_score_before_update", f"WITH {win_sql('V7')}, c AS (SELECT DISTINCT least((ws + score_from) // {UPDATE}, (n + {UPDATE - 1}) // {UPDATE} - 1) AS ci FROM w), e AS (SELECT ci, 0 AS phase, ci * 2 AS at FROM c UNION ALL SELECT ci, 1, ci * 2 + 1 FROM c) SELECT a.ci, a.at < b.at AS ok FROM e a JOIN e b ON a.ci = b.ci AND a.phase = 0 AND b.phase = 1")
+R6 = f"""WITH {win_sql('V7')}, c AS (SELECT least((ws + score_from) // {UPDATE}, (n + {UPDATE - 1}) // {UPDATE} - 1) AS ci, min(ws + score_from) AS first_scored, any_value(n) AS n FROM w GROUP BY 1)
+SELECT ci, first_scored, first_scored >= coalesce((SELECT max(least((b.ci + 1) * {UPDATE}, b.n)) FROM c b WHERE b.ci < a.ci), 0) AS ok FROM c a"""
+
+
+@register("r6_score_before_update", R6)
 def r6(spark: SparkSession, d: str) -> DataFrame:
+    """A chunk is scored, then trained on: its first scored target lies behind all targets of the chunks before."""
+    from pyspark.sql import Window
+
     w, n = sliding(spark, d, "V7")
-    c = W.update_chunks(w, n, UPDATE).select("ci").distinct()
-    events = c.select("ci", F.explode(F.array(F.lit(0), F.lit(1))).alias("phase")).withColumn("at", F.col("ci") * 2 + F.col("phase"))
-    both = events.groupBy("ci").agg(F.max(F.when(F.col("phase") == 0, F.col("at"))).alias("score"), F.max(F.when(F.col("phase") == 1, F.col("at"))).alias("update"))
-    return both.select("ci", (F.col("score") < F.col("update")).alias("ok"))
+    c = W.update_chunks(w, n, UPDATE).groupBy("ci").agg(F.min(F.col("ws") + F.col("score_from")).alias("first_scored"))
+    trained = F.lag(F.least((F.col("ci") + 1) * UPDATE, F.lit(n))).over(Window.orderBy("ci"))  # a row for each chunk
+    return c.select("ci", "first_scored", (F.col("first_scored") >= F.coalesce(trained, F.lit(0))).alias("ok"))
 
 
 @register("t10_shuffled_sampler", f"WITH {NN} SELECT i // 97 AS shard_id, count(*) AS drawn, count(*) AS largest_draw FROM (SELECT unnest(range(0, n // {L})) AS i FROM nn) GROUP BY 1")

@@ -12,6 +12,11 @@ def jsonl_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce("text", F.raise_error(F.lit("a document without text")).cast("string")).alias("text"))
 
 
+def count_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``docs``: lines of the files, whether they parse or not."""
+    return spark.read.text(path).agg(F.count("*").alias("docs"))
+
+
 def sidecar(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("num_docs long, docs_val long, docs_sha256 string, shuffle_seed long").json(path, multiLine=True)
 
