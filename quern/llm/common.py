@@ -94,6 +94,20 @@ def only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= SENT else ids, column, "left_semi")
 
 
+def mark() -> int:
+    """How many tables there are; for :func:`drop_since`."""
+    return len(_tables)
+
+
+def drop_since(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables written since a mark but for those kept, which :func:`written` returned."""
+    paths = {df.quern_path for df in keep if hasattr(df, "quern_path")}
+    for path in _tables[since:]:
+        if path not in paths:
+            _remove(spark, path)
+    _tables[since:] = [p for p in _tables[since:] if p in paths]
+
+
 def tidy(spark: SparkSession) -> None:
     """Delete all tables made by :func:`written` so far.
 

@@ -168,6 +168,7 @@ def duplicate_lines(docs: DataFrame, least_chars: int = MIN_CHARS) -> DataFrame:
     """``dk, nos``: for each document key, the places of its lines that go."""
     base = C.pick(docs, "doc_id", "text").where("text IS NOT NULL").select(F.col("doc_id").cast("long"), _key("doc_id", "text").alias("dk"), "text")
     found = base.mapInArrow(partial(_coarse, least=least_chars), "doc_id long, dk long, no long, h long, g long, keys array<long>")
+    start = C.mark()
     lines = C.written(found, "lines")
     spot = F.struct("doc_id", "dk", "no")
     classes = C.written(lines.groupBy("h", "g").agg(F.min(spot).alias("first"), F.count("*").alias("k")), "line-classes")
@@ -196,6 +197,7 @@ def duplicate_lines(docs: DataFrame, least_chars: int = MIN_CHARS) -> DataFrame:
     # all lines but the first of each class, and all lines of a class with an earlier neighbour; written, so that
     # the join below has a plain exchange on either side and Spark can split a hot line's rows
     gone = C.written(classes.join(near, ["h", "g"], "left").where("k > 1 OR near"), "lines-gone")
+    C.drop_since(docs.sparkSession, start, lines, gone)
     judged = lines.select("h", "g", "doc_id", "dk", "no").join(gone, ["h", "g"]).where((spot != F.col("first")) | F.coalesce("near", F.lit(False)))
     return judged.groupBy("dk").agg(F.collect_set("no").alias("nos"))
 

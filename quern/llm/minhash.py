@@ -47,7 +47,7 @@ MISS = 1e-7
 #: Ids of classes whose rows have no id are at least this.
 NO_ID = 1 << 62
 #: Steps of regrouping at most; FEW pairs a class are compared at once.
-LEVELS, FEW = 8, 8
+LEVELS, FEW = 8, 16
 
 _odd = C.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _seed = C.mix(np.arange(101, COORDINATES + 101, dtype=np.uint64))
@@ -140,7 +140,7 @@ def _both(pairs: DataFrame, side: DataFrame, *names: str) -> DataFrame:
 
 def _groups(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """One row per row of ``docs`` (``doc_id, dk, n, ca, cb``), and the components of the classes (ca, cb)."""
-    spark = docs.sparkSession
+    spark, start = docs.sparkSession, C.mark()
     least = least_matches(percent)
     slim = C.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("dk"), "text")
     sketch = C.written(slim.mapInArrow(_sketch(words), "doc_id long, dk long, n long, ca long, cb long, keys array<long>"), "sketch")
@@ -196,8 +196,12 @@ def _groups(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     heads = heads.select("key", "comp", "top", (-F.col("top.minus")).alias("head"))
     hubs = heads.groupBy("key").agg(F.max("top").alias("best"), F.count("*").alias("k")).where("k > 1").select("key", (-F.col("best.minus")).alias("hub"))
     pairs = heads.join(hubs, "key").where("head <> hub").select(F.least("head", "hub").alias("a"), F.greatest("head", "hub").alias("b")).distinct()
+    before = C.mark()
     comp = _merged(comp, verified(pairs, "links").where("linked"))
-    return sketch, classes, _settled(posted.select("key", "cid"), sets, comp, verified, _of, percent)
+    C.drop_since(spark, before, comp)
+    comp = _settled(posted.select("key", "cid"), sets, comp, verified, _of, percent)
+    C.drop_since(spark, start, sketch, classes, comp)
+    return sketch, classes, comp
 
 
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -221,7 +225,7 @@ def _settled(groups: DataFrame, sets: DataFrame, comp: DataFrame, verified, of,
     """
     p, q = percent, 100 + percent
     some = lambda df: df.limit(1).count() > 0
-    classes = sets.count()
+    classes, start = sets.count(), C.mark()
     for level in range(1, LEVELS + 1):
         now = groups.join(comp, "cid").join(sets.select("cid", "n"), "cid")
         mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "cid", "comp")).alias("top")).where("lo < hi").select("key", F.col("top.cid").alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.comp").alias("hub_comp"))
@@ -247,6 +251,7 @@ def _settled(groups: DataFrame, sets: DataFrame, comp: DataFrame, verified, of,
         sizes = left.groupBy("hub", "item", "comp").agg(F.count("*").alias("k")).groupBy("hub", "item").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("major"))
         sizes = sizes.where("all > major.k").select("hub", "item", "all", (F.col("all") - F.col("major.k")).alias("minor"), F.col("major.comp").alias("major"))
         pairs = sizes.agg(F.coalesce(F.sum(F.col("all") * F.col("minor")), F.lit(0))).first()[0]
+        C.drop_since(sets.sparkSession, start, comp, left)
         if pairs <= FEW * classes or level == LEVELS:
             break
         groups = left.select(F.xxhash64("hub", "item").alias("key"), "cid")
