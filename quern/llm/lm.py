@@ -57,7 +57,7 @@ HOT = BUCKET_TOKENS // 8
 #: First steps of the weights of each kind of feature; tokens of a mini-batch.
 RATES, BATCH = (0.4, 1.5, 0.25), 4096
 END = "\n"  # cannot be a word
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_A = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -158,12 +158,12 @@ class Weights:
     def _logits(self, feats: np.ndarray, use: np.ndarray, leaf: np.ndarray):
         n, node, side = self.tree.paths(leaf)
         token = np.repeat(np.arange(len(leaf)), n)
-        mark = node.astype(np.uint64) * _A
+        mark = node.astype(np.uint32) * np.uint32(0x9E3779B1)
         z = self.tree.bias[node]
         slots = []
         for f, u, w in zip(feats, use, self.w):
             at = np.flatnonzero(u[token])
-            slot = ((f[token[at]] + mark[at]) * _B >> np.uint64(64 - BITS)).astype(np.int64)
+            slot = ((f[token[at]] ^ mark[at]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)).astype(np.int64)
             z[at] += w[slot]
             slots.append((at, slot))
         return n, side, slots, z
@@ -179,7 +179,8 @@ class Weights:
     def log_class(self, feats: np.ndarray, use: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """The log probability of each token's class."""
         n, side, _, z = self._logits(feats, use, leaf)
-        each = -np.logaddexp(0, np.where(side > 0, -z, z).astype(np.float64))
+        x = np.where(side > 0, -z, z)
+        each = -(np.log1p(np.exp(-np.abs(x))) + np.maximum(x, 0)).astype(np.float64)
         total = np.concatenate([[0.0], np.cumsum(each)])
         ends = np.cumsum(n)
         return total[ends] - total[ends - n]
@@ -196,11 +197,16 @@ def shared(feature: np.ndarray, trains: np.ndarray) -> np.ndarray:
 
 
 def features(a: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Hashes of the features of tokens after the word a, which follows the word s."""
+    """Hashes of the features of tokens after the word a, which follows the word s, 64 bits of each."""
     a, s = a.astype(np.uint64), s.astype(np.uint64)
     return np.stack([C.mix(a + np.uint64(11)), C.mix((a << np.uint64(32)) + s), C.mix(s + (np.uint64(5) << np.uint64(40)))])
 
 
+def short(feats: np.ndarray) -> np.ndarray:
+    """The 32 bits of features that go into slots; many 32-bit products are made at once."""
+    return (feats >> np.uint64(32)).astype(np.uint32)
+
+
 class Model:
     """Class map, class totals, the tree of classes, and the head of the vocabulary."""
 
@@ -297,7 +303,7 @@ def _learn(held):
         feats, leaf = features(a[token], s[token]), leaf[token].astype(np.int64)
         weights = Weights(held.value.tree, len(feats))
         learns = np.repeat(trains, n)
-        use = np.stack([shared(f, learns) for f in feats])
+        use, feats = np.stack([shared(f, learns) for f in feats]), short(feats)
         own = np.flatnonzero(learns)
         for k in range(0, len(own), BATCH):
             at = own[k : k + BATCH]
@@ -399,7 +405,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
     sums = own.unionByName(parts).groupBy("task", "seq").agg(F.max("dk").alias("dk"), F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n", "known", "base", "share")])
     blocks = slim.mapInArrow(_deal(held), "bucket long, dk array<long>, n array<long>, trains array<boolean>, a binary, s binary, leaf binary")
     learnt = blocks.repartition(model.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_learn(held), "dk long, lp double")
-    classes = C.written(learnt, "lm-classes").groupBy("dk").agg(F.sum("lp").alias("lp"))
+    classes = learnt.groupBy("dk").agg(F.sum("lp").alias("lp"))
     return sums.join(classes, "dk").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(model.total)).cast("long").alias("train_tokens"),
         (F.col("base") - log_n * F.col("n")).alias("base_score"), (F.col("share") + F.col("lp")).alias("score"),
