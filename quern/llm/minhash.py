@@ -9,13 +9,17 @@
    agree on ``least`` coordinates share a key among the first (keys - least + 1)
    of each; only those are posted.  Collisions are then counted on the whole
    signatures, and pairs under ``least`` are skipped without reading their sets.
-4. Posted classes are joined to one hub per key (the class whose keys are most
+4. Shingles that no other posted class has are set aside: they count in a set's
+   size and are in no intersection.  A class whose other shingles are fewer than
+   ``percent`` of its set has no partner and leaves.
+5. Posted classes are joined to one hub per key (the class whose keys are most
    common), never to all of a group; verified links merge components.
-5. What is left are pairs of classes in different components that share a posted
-   key.  They can be linked only if they share shingles that the smallest set of
-   their group lacks; they are grouped by these, rarest first, again and again
-   until few are left (``_settled`` proves that no link is lost).
-6. Links are confirmed on the full sets.
+6. What is left are pairs of classes in different components.  They share a
+   shingle of the first few of each, rarest first; groups by these are paired if
+   they are small.  In a large group, linked classes differ from a hub in the
+   same shingles; they are grouped by these, again and again until few pairs are
+   left (``_settled`` proves that no link is lost).
+7. Of all these pairs, those with enough collisions are read; links are confirmed by the number of shingles in both and the full sets' sizes.
 
 ``least`` is the largest threshold that loses a pair at the similarity bound
 with probability under MISS, for coordinates that agree independently.
@@ -30,12 +34,12 @@ never looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -46,8 +50,10 @@ COORDINATES = 40
 MISS = 1e-7
 #: Ids of classes whose rows have no id are at least this.
 NO_ID = 1 << 62
-#: Steps of regrouping at most; FEW pairs a class are compared at once.
+#: Steps of regrouping at most; FEW pairs a posted class are compared at once.
 LEVELS, FEW = 8, 16
+#: Stands for the shingles that only the hub has, after all others in order.
+LONE = (1 << 63) - 1
 
 _odd = C.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _seed = C.mix(np.arange(101, COORDINATES + 101, dtype=np.uint64))
@@ -175,7 +181,8 @@ def _groups(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
         texts = texts.unionByName(slim.where("doc_id IS NULL").select("text"))
         texts = texts.unionByName(slim.join(several, "doc_id", "left_semi").select("text")) if clash else texts
     sets = texts.mapInArrow(_set_rows(words), "ca long, cb long, shingles array<long>").join(classes.select("ca", "cb", "cid", "n", "keys"), ["ca", "cb"])
-    sets = C.written(sets.dropDuplicates(["cid"]).select("cid", "n", "keys", "shingles"), "sets")
+    sets = _shared(C.written(sets.dropDuplicates(["cid"]).select("cid", "n", "keys", "shingles"), "sets"), percent)
+    posted = C.written(C.only(posted, C.written(sets.select("cid"), "shared-ids"), "cid"), "posted")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         """Pairs with enough collisions, and whether they are links."""
@@ -199,7 +206,11 @@ def _groups(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     before = C.mark()
     comp = _merged(comp, verified(pairs, "links").where("linked"))
     C.drop_since(spark, before, comp)
-    comp = _settled(posted.select("key", "cid"), sets, comp, verified, _of, percent)
+    # linked sets share one of the first of their shingles; their sizes are in one band or in neighbouring ones (a little wider than percent, for rounding)
+    first = sets.select("cid", "n", F.explode(F.expr(f"slice(shingles, 1, cast(size(shingles) - ({percent} * n + 99) div 100 + 1 AS int))")).alias("item"))
+    band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * log(100 / percent)))
+    banded = first.select("cid", "item", F.explode(F.array(band, band - 1)).alias("band")) if percent < 100 else first.withColumnRenamed("n", "band")
+    comp = _settled(C.written(banded.select(F.xxhash64("item", "band").alias("key"), "cid"), "groups"), sets, comp, verified, _of, percent, FEW * marked.count())
     C.drop_since(spark, start, sketch, classes, comp)
     return sketch, classes, comp
 
@@ -211,57 +222,102 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return C.written(comp.join(found, comp["comp"] == found["node"], "left").select("cid", F.coalesce("component", "comp").alias("comp")), "comp")
 
 
-def _settled(groups: DataFrame, sets: DataFrame, comp: DataFrame, verified, of, percent: int) -> DataFrame:
+def _shared(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` that may have a partner, their ``shingles`` only those that another set has, rarest first, and how common these are."""
+    for _ in range(2):  # without the sets that leave, fewer shingles are shared
+        each = sets.select("cid", F.explode("shingles").alias("item"))
+        # written, so that the join below has a plain exchange on either side and Spark can split a hot shingle's rows
+        common = C.written(each.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "shingles")
+        own = each.join(common, "item").groupBy("cid").agg(F.expr("transform(sort_array(collect_list(struct(df, item))), x -> x.item)").alias("shingles"), F.sum("df").alias("weight"))
+        sets = C.written(sets.select("cid", "n", "keys").join(own, "cid").where(100 * F.size("shingles") >= percent * F.col("n")), "shared-sets")
+    return sets
+
+
+def _open(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """Groups ``key`` with rows of several components: how many rows, how many outside the largest one (``major``).
+
+    Of groups with the same classes, as told by two 64-bit hashes, one stays.
+    """
+    name = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(x) for k, x in ((1, "u"), (2, "v"))]
+    sizes = groups.join(comp, "cid").groupBy("key", "comp").agg(F.count("*").alias("k"), *name)
+    sizes = sizes.groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("major"), F.bit_xor("u").alias("u"), F.bit_xor("v").alias("v")).where("all > major.k")
+    return sizes.groupBy("u", "v").agg(F.min(F.struct("key", "all", (F.col("all") - F.col("major.k")).alias("minor"), F.col("major.comp").alias("major"))).alias("x")).select("x.*")
+
+
+def _settled(groups: DataFrame, sets: DataFrame, comp: DataFrame, verified, of, percent: int, few: int) -> DataFrame:
     """``cid, comp`` once no link between two components of a group ``key`` is left.
 
-    Each group's smallest set h is compared with all its others.  Let x and m be
-    linked but still in two components; then one of them, say x, is not linked
-    with h.  They share at most the smaller of |x & h| and |m & h| within h, and
-    |x & h| alone falls short of what a link of x needs, because |m| >= |h|.  So
-    they share shingles that h lacks, at least ``need`` of them, and it is enough
-    to look at those: rows without so many shared ones leave, the others are
-    grouped anew by a prefix, rarest first, and the step repeats within these
-    groups while they are large.  What is left in the end is compared in pairs.
+    Groups are compared in pairs, the smallest first, as long as these are ``few``
+    in all.  In each larger group the set h with the most common shingles is
+    compared with all others.  Let D(x) be the shingles that are in one of x and h only; x and m
+    differ in |D(x)| + |D(m)| - 2 |D(x) & D(m)| shingles, and are linked if these
+    are at most c (|x| + |m|), c = (100 - percent) / (100 + percent).  With
+    slack(x) = |D(x)| - c |x|, a link needs
+    |D(x) & D(m)| >= (slack(x) + slack(m)) / 2, and at least 1 if x and m are in
+    two components: one of them, say m, is not linked with h, so that
+    slack(m) > c |h|, and slack(x) >= ||x| - |h|| - c |x| >= -c |h|.
+
+    With the least slack of the rows that are not in x's component, ``need`` is
+    a bound for x alone.  Rows without so many shared differences leave; the
+    others are grouped anew by a prefix of them, rarest first, and all repeats
+    with these groups.
+
+    Shingles that only h has are in every D; one item, LONE, stands for all.
     """
     p, q = percent, 100 + percent
     some = lambda df: df.limit(1).count() > 0
-    classes, start = sets.count(), C.mark()
-    for level in range(1, LEVELS + 1):
-        now = groups.join(comp, "cid").join(sets.select("cid", "n"), "cid")
-        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "cid", "comp")).alias("top")).where("lo < hi").select("key", F.col("top.cid").alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.comp").alias("hub_comp"))
+    start = C.mark()
+
+    def bounded(rows: DataFrame) -> DataFrame:
+        """With ``need``, by the least slack (times q) of those in and out of the hub's component."""
+        inside = F.col("comp") == F.col("hub_comp")
+        least = rows.groupBy("hub").agg(F.min(F.when(inside, F.col("slack"))).alias("in"), F.min(F.when(~inside, F.col("slack"))).alias("out")).where("out IS NOT NULL")
+        low = F.col("slack") + F.when(inside, F.col("out")).otherwise(F.least("in", "out"))
+        return rows.join(least, "hub").withColumn("need", F.greatest(F.lit(1).cast("long"), F.ceil(low / (2 * q)))).drop("in", "out")
+
+    names = ["hub", "hub_comp", "cid", "comp", "slack", "lone"]
+    for level in range(LEVELS + 1):
+        sizes = C.written(_open(groups, comp), "sizes")
+        step = F.ceil(F.log2("all"))
+        limit, pairs, hist = -1, 0, sorted(sizes.groupBy(step.alias("step")).agg(F.sum(F.expr("minor * (all - minor) + minor * (minor - 1) div 2")).alias("pairs")).collect())
+        for r in hist:
+            pairs += r["pairs"]
+            limit = r["step"] if pairs <= few or level == LEVELS else limit
+        if limit >= 0:  # rows outside the largest component of their group against all rows of the group
+            rows = groups.join(comp, "cid").join(sizes.where(step <= limit).select("key", "major"), "key")
+            one = rows.where("comp <> major").select("key", F.col("cid").alias("x"), F.col("comp").alias("cx"))
+            both = one.join(rows, "key").where("comp <> cx AND (comp = major OR x < cid)")
+            fresh = verified(both.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).distinct(), "rest").where("linked")
+            comp = _merged(comp, fresh) if some(fresh) else comp
+        if not hist or limit == hist[-1]["step"]:
+            break
+        now = groups.join(sizes.where(step > limit).select("key"), "key", "left_semi").join(comp, "cid").join(sets.select("cid", "n", "weight"), "cid")
+        top = F.max(F.struct("weight", (-F.col("cid")).alias("minus"), "n", "comp")).alias("top")
+        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), top).where("lo < hi").select("key", (-F.col("top.minus")).alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.comp").alias("hub_comp"))
         # written, so that the join below has a plain exchange on either side and Spark can split a hot key's rows
         pairs = C.written(now.join(C.written(mixed, "open-keys"), "key").where("cid <> hub").select("cid", "comp", "hub", "hub_comp", "hub_n", "n").distinct(), "open-pairs")
         own = of(pairs, "cid", "hub")
         rest = pairs.join(own.select("cid", "shingles"), "cid").join(own.select(F.col("cid").alias("hub"), F.col("shingles").alias("base")), "hub")
-        rest = rest.select("cid", "comp", "hub", "hub_comp", "hub_n", "n", F.array_except("shingles", "base").alias("extra")).withColumn("inter", F.col("n") - F.size("extra"))
-        rest = C.written(rest, "open")
-        fresh = rest.where(f"comp <> hub_comp AND 100 * inter >= {p} * (n + hub_n - inter)").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+        rest = rest.withColumn("extra", F.array_except("shingles", "base")).withColumn("inter", F.size("shingles").cast("long") - F.size("extra")).withColumn("lone", F.col("hub_n") - F.size("base"))
+        items = F.concat("extra", F.array_except("base", "shingles"), F.when(F.col("lone") > 0, F.array(F.lit(LONE))).otherwise(F.array().cast("array<long>")))
+        slack = q * (F.col("n") + F.col("hub_n") - 2 * F.col("inter")) - (100 - p) * F.col("n")
+        linked = 100 * F.col("inter") >= p * (F.col("n") + F.col("hub_n") - F.col("inter"))
+        rest = C.written(rest.select("cid", "comp", "hub", "hub_comp", linked.alias("linked"), slack.alias("slack"), F.greatest(F.col("lone") - 1, F.lit(0)).alias("lone"), items.alias("items")), "open")
+        fresh = rest.where("comp <> hub_comp AND linked").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
         if some(fresh):
             comp = _merged(comp, fresh)
-        # a partner has as many shingles as the hub at least, and at least percent of this class's
-        need = F.greatest(F.lit(1).cast("long"), F.expr(f"({p} * (n + greatest(hub_n, ({p} * n + 99) div 100)) + {q - 1}) div {q} - inter"))
-        left = rest.where(F.size("extra") >= need).drop("comp").join(comp, "cid").select("cid", "comp", "hub", need.alias("need"), F.explode("extra").alias("item"))
+        left = rest.drop("comp", "hub_comp").join(comp, "cid").join(comp.toDF("hub", "hub_comp"), "hub")
+        left = bounded(left).where("size(items) + lone >= need").select(*names, "need", F.explode("items").alias("item"))
         for again in range(2):  # what few share decides who goes, and then fewer share
+            left = bounded(left.drop("need")) if again else left
             shared = left.groupBy("hub", "item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("hub", "item", "df")
-            left = left.join(C.written(shared, "shared"), ["hub", "item"]).groupBy("hub", "cid", "comp", "need").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("own")).where("size(own) >= need")
-            cut = "own" if not again else "slice(own, 1, cast(size(own) - need + 1 AS int))"
-            left = C.written(left.select("hub", "cid", "comp", "need", F.explode(F.expr(cut)).alias("x")).select("hub", "cid", "comp", "need", "x.item"), "items")
+            left = left.join(C.written(shared, "shared"), ["hub", "item"]).groupBy(*names, "need").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("own")).where("size(own) + lone >= need")
+            cut = "own" if not again else "slice(own, 1, cast(size(own) + lone - need + 1 AS int))"
+            left = C.written(left.select(*names, "need", F.explode(F.expr(cut)).alias("x")).select(*names, "need", "x.item"), "items")
             if not some(left):
                 break
-        sizes = left.groupBy("hub", "item", "comp").agg(F.count("*").alias("k")).groupBy("hub", "item").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("major"))
-        sizes = sizes.where("all > major.k").select("hub", "item", "all", (F.col("all") - F.col("major.k")).alias("minor"), F.col("major.comp").alias("major"))
-        pairs = sizes.agg(F.coalesce(F.sum(F.col("all") * F.col("minor")), F.lit(0))).first()[0]
         C.drop_since(sets.sparkSession, start, comp, left)
-        if pairs <= FEW * classes or level == LEVELS:
-            break
         groups = left.select(F.xxhash64("hub", "item").alias("key"), "cid")
-    if pairs:  # rows outside the largest component of their group against all rows of the group
-        left = left.join(sizes.select("hub", "item", "major"), ["hub", "item"])
-        one = left.where("comp <> major").select("hub", "item", F.col("cid").alias("x"), F.col("comp").alias("cx"))
-        both = one.join(left, ["hub", "item"]).where("comp <> cx AND (comp = major OR x < cid)")
-        both = both.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).distinct()
-        fresh = verified(both, "rest").where("linked")
-        comp = _merged(comp, fresh) if some(fresh) else comp
     return comp
 
 

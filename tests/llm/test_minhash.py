@@ -88,3 +88,43 @@ def test_keep_one_with_repeated_rows_null_ids_and_odd_names(spark):
     assert kept.columns == docs.columns
     got = sorted((r[0] or -1, r[1] or "") for r in kept.collect())
     assert got == [(-1, "no id and no twin here at all"), (1, text), (3, "alone in the world it is"), (4, ""), (4, ""), (5, "")]
+
+
+def test_hubs_and_regrouping_lose_no_link(table, rng, monkeypatch):
+    """With no pairs allowed before the last step, all goes by differences from hubs; sizes differ too."""
+    monkeypatch.setattr(minhash, "FEW", 0)
+    monkeypatch.setattr(minhash, "LEVELS", 3)
+    docs = [t for _, t in corpus(rng, groups=5, size=20)]
+    base = [f"v{i}" for i in range(120)]
+    for _ in range(70):
+        w = list(base[: rng.randint(95, 120)])
+        for _ in range(rng.choice([0, 1, 2, 3, 5])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(4)}"
+        docs.append(" ".join(w + [f"own{rng.randrange(10**6)}" for _ in range(rng.choice([0, 0, 3, 9]))]))
+    docs = list(enumerate(docs))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(table(docs), 3, 85).collect()}
+    assert got == brute(docs, 3, 85)
+
+
+def test_groups_of_unlinked_texts_are_not_regrouped_many_times(table, rng, monkeypatch):
+    made = []
+    written = minhash.C.written
+
+    def counted(df, tag):
+        out = written(df, tag)
+        made.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash.C, "written", counted)
+    docs = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(160)]
+        for _ in range(24):
+            w = list(base)
+            for at in rng.sample(range(160), 9):
+                w[at] = f"x{rng.randrange(2)}"
+            docs.append(" ".join(w))
+    docs = list(enumerate(docs))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(table(docs), 3, 85).collect()}
+    assert got == brute(docs, 3, 85)
+    assert sum(n for tag, n in made if tag == "items") <= 16 * len(docs)
