@@ -136,7 +136,7 @@ class Items:
         return tuple(np.concatenate(out, axis=1))
 
     def distances(self, c: np.ndarray, start: np.ndarray, item: np.ndarray, row: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Least edit distance of each item to any part of the row that begins in the band."""
+        """Least edit distance of each item to any part of the row that begins in the band; if over the item's edits, some number over these."""
         out = np.empty(len(item), np.int64)
         code = self.code[c]
         lo = np.maximum(begin - self.k[item], start[row])
@@ -150,7 +150,11 @@ class Items:
         return out
 
     def _distances(self, code: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Bit-parallel, one step for a character of all the stretches of text."""
+        """Bit-parallel, one step for a character of all the stretches of text.
+
+        A step lowers a score by 1 at most, so stretches whose score cannot come
+        down to the item's edits, or below their best, by their end are left out.
+        """
         one, w = np.uint64(1), int(self.words[item[0]])
         bits = self.bits[w]
         alphabet = bits.shape[1] // int((self.words == w).sum())
@@ -162,7 +166,17 @@ class Items:
         mv = [np.zeros(len(item), np.uint64) for _ in range(w)]
         end = len(code) - 1
         eq, xv, xh, ph, mh, up, down, top = (np.empty(len(item), np.uint64) for _ in range(8))
+        out, own, most = best.copy(), np.arange(len(item)), self.k[item]
         for t in range(int((hi - lo).max())):
+            if t % 8 == 0:
+                live = np.flatnonzero(score - (hi - lo - t) <= np.minimum(most, best - 1))
+                if len(live) <= 0.8 * len(own):
+                    out[own] = best
+                    if not len(live):
+                        return out
+                    own, base, last, score, best, lo, hi, most = (x[live] for x in (own, base, last, score, best, lo, hi, most))
+                    pv, mv = [x[live] for x in pv], [x[live] for x in mv]
+                    eq, xv, xh, ph, mh, up, down, top = (x[: len(live)] for x in (eq, xv, xh, ph, mh, up, down, top))
             at = lo + t
             sym = base + np.where(at < hi, code[np.minimum(at, end)], 0)  # after its end a text has a character that no item has
             up[:] = down[:] = 0  # a part may begin anywhere: the first row stays 0
@@ -195,7 +209,8 @@ class Items:
                 np.invert(p, out=p)
                 p |= mh
             np.minimum(best, score, out=best)
-        return best
+        out[own] = best
+        return out
 
     def finds(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, item (its index) and distance for what the texts (in normal form) hold."""

@@ -96,3 +96,30 @@ def test_other_columns_and_benchmark_in_parts(spark, table, rng, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, bench).collect()} == {(i, i) for i in range(5)}
     kept = D.filter_contaminated(docs, bench)
     assert kept.columns == docs.columns and [(r["doc_id"], r["__dk"], r["__bad"]) for r in kept.collect()] == [(9, 1, 2)]
+
+
+def test_distances_end_where_no_item_can_be_held(rng, monkeypatch):
+    """Unrelated stretches are not read to their end, and those that hold an item have its distance."""
+    letters = "abcdefghijklmnopqrst"
+    item = "".join(rng.choices(letters, k=200))
+    held = list(item)
+    for at in rng.sample(range(200), 30):
+        held[at] = "z"
+    text = lambda n: "".join(rng.choices(letters, k=n))
+    items = D.Items([(0, item)], 0.2)
+    steps, plain = [0], D.np.invert
+
+    def invert(*x, **named):
+        steps[0] += len(x[0])
+        return plain(*x, **named)
+
+    for row, whole in ((text(120) + item[:20] + text(400), False), (text(40) + "".join(held) + text(300), True)):
+        c, start = D.characters(row + "\n"), D.np.array([0, len(row) + 1])
+        place = D.np.array([120 if not whole else 40])
+        steps[0] = 0
+        monkeypatch.setattr(D.np, "invert", invert)
+        d = items.distances(c, start, D.np.array([0]), D.np.array([0]), place)[0]
+        monkeypatch.setattr(D.np, "invert", plain)
+        assert d == D.best_distance(item, row[: int(place[0]) + 280]) if whole else d > 40
+        if not whole:
+            assert steps[0] < 0.9 * 2 * 4 * 320  # two inversions for each of 4 words and 320 characters
