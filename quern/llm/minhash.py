@@ -18,7 +18,9 @@
    shingle of the first few of each, rarest first; groups by these are paired if
    they are small.  In a large group, linked classes differ from a hub in the
    same shingles; they are grouped by these, again and again until few pairs are
-   left (``_settled`` proves that no link is lost).
+   left (``_settled`` proves that no link is lost).  Where that does not lower the
+   pairs, sets are grouped by bands of ROWS minima: a link at the bound shares no
+   band with probability under MISS_BANDS.
 7. Of all these pairs, those with enough collisions are read; links are confirmed by the number of shingles in both and the full sets' sizes.
 
 ``least`` is the largest threshold that loses a pair at the similarity bound
@@ -34,7 +36,7 @@ never looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb, log
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +52,14 @@ COORDINATES = 40
 MISS = 1e-7
 #: Ids of classes whose rows have no id are at least this.
 NO_ID = 1 << 62
-#: Steps of regrouping at most; FEW pairs a posted class are compared at once.
-LEVELS, FEW = 8, 16
+#: Steps of regrouping at most; FEW pairs a posted class are compared at once; rows with a hub, a posted class, that are regrouped at most.
+LEVELS, FEW, HUBBED = 8, 16, 2
 #: Stands for the shingles that only the hub has, after all others in order.
 LONE = (1 << 63) - 1
+#: Minima that make a band; a link at the bound has no band in common with probability under MISS_BANDS.
+ROWS, MISS_BANDS = 12, 1e-9
+#: Pairs of a group that are compared, as ``_open`` tells its size.
+PAIRS = "minor * (all - minor) + minor * (minor - 1) div 2"
 
 _odd = C.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _seed = C.mix(np.arange(101, COORDINATES + 101, dtype=np.uint64))
@@ -68,6 +74,11 @@ def least_matches(percent: int, coordinates: int = COORDINATES, miss: float = MI
     return t
 
 
+def band_count(percent: int) -> int:
+    """The fewest bands with P(no band agrees) < MISS_BANDS at the bound."""
+    return ceil(log(MISS_BANDS) / log1p(-((percent / 100) ** ROWS))) if percent < 100 else 1
+
+
 def shingle_sets(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Flat distinct shingle hashes, ascending within each row, and their offsets.
 
@@ -210,7 +221,7 @@ def _groups(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     first = sets.select("cid", "n", F.explode(F.expr(f"slice(shingles, 1, cast(size(shingles) - ({percent} * n + 99) div 100 + 1 AS int))")).alias("item"))
     band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * log(100 / percent)))
     banded = first.select("cid", "item", F.explode(F.array(band, band - 1)).alias("band")) if percent < 100 else first.withColumnRenamed("n", "band")
-    comp = _settled(C.written(banded.select(F.xxhash64("item", "band").alias("key"), "cid"), "groups"), sets, comp, verified, _of, percent, FEW * marked.count())
+    comp = _settled(C.written(banded.select(F.xxhash64("item", "band").alias("key"), "cid"), "groups"), sets, comp, verified, _of, percent, marked.count())
     C.drop_since(spark, start, sketch, classes, comp)
     return sketch, classes, comp
 
@@ -244,11 +255,34 @@ def _open(groups: DataFrame, comp: DataFrame) -> DataFrame:
     return sizes.groupBy("u", "v").agg(F.min(F.struct("key", "all", (F.col("all") - F.col("major.k")).alias("minor"), F.col("major.comp").alias("major"))).alias("x")).select("x.*")
 
 
-def _settled(groups: DataFrame, sets: DataFrame, comp: DataFrame, verified, of, percent: int, few: int) -> DataFrame:
+def _bands(percent: int):
+    """For each set, a key for each band: ROWS minima of its shingles together."""
+    count = band_count(percent)
+    odd = C.mix(np.arange(1001, 1001 + count * ROWS, dtype=np.uint64)) | np.uint64(1)
+    seed = C.mix(np.arange(500001, 500001 + count * ROWS, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off = np.asarray(batch.column(1).offsets, np.int64)
+            lo = 0
+            while lo < batch.num_rows:  # so many sets at once that their keys and shingles stay small
+                hi = max(lo + 1, min(lo + 1024, int(np.searchsorted(off, off[lo] + (1 << 16), "right")) - 1))
+                g, at = np.asarray(batch.column(1).values)[off[lo] : off[hi]].view(np.uint64), off[lo:hi] - off[lo]
+                keys = np.zeros((hi - lo, count), np.uint64)
+                for j in range(count * ROWS):
+                    keys[:, j // ROWS] = C.mix((keys[:, j // ROWS] + np.uint64(j)) ^ np.minimum.reduceat((g ^ seed[j]) * odd[j], at))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * count), pa.array(keys.view(np.int64).ravel()))], ["cid", "bands"])
+                lo = hi
+        C.give_back()
+
+    return run
+
+
+def _settled(groups: DataFrame, sets: DataFrame, comp: DataFrame, verified, of, percent: int, count: int) -> DataFrame:
     """``cid, comp`` once no link between two components of a group ``key`` is left.
 
-    Groups are compared in pairs, the smallest first, as long as these are ``few``
-    in all.  In each larger group the set h with the most common shingles is
+    Groups are compared in pairs, the smallest first, as long as these are FEW
+    for each of ``count`` posted classes.  In each larger group the set h with the most common shingles is
     compared with all others.  Let D(x) be the shingles that are in one of x and h only; x and m
     differ in |D(x)| + |D(m)| - 2 |D(x) & D(m)| shingles, and are linked if these
     are at most c (|x| + |m|), c = (100 - percent) / (100 + percent).  With
@@ -263,10 +297,30 @@ def _settled(groups: DataFrame, sets: DataFrame, comp: DataFrame, verified, of,
     with these groups.
 
     Shingles that only h has are in every D; one item, LONE, stands for all.
+
+    Where a step leaves more than half of the pairs, where sets are in groups of
+    many hubs (HUBBED), and after LEVELS steps, the sets of the large groups are grouped by bands of minima, which unlinked sets
+    seldom share however many sets their group has; a link at the bound is not
+    in these groups with probability under MISS_BANDS.  Their sets are compared
+    with one hub for each group, and then all pairs in two components.
     """
     p, q = percent, 100 + percent
     some = lambda df: df.limit(1).count() > 0
     start = C.mark()
+    step = F.ceil(F.log2("all"))
+    size_of = sets.select("cid", "n", "weight")
+
+    def merged(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        fresh = verified(pairs.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).distinct(), "rest").where("linked")
+        return _merged(comp, fresh) if some(fresh) else comp
+
+    def compared(groups: DataFrame, sizes: DataFrame, comp: DataFrame) -> DataFrame:
+        """Rows outside the largest component of their group against all rows of the group."""
+        rows = groups.join(comp, "cid").join(sizes.select("key", "major"), "key").join(size_of.drop("weight"), "cid")
+        one = rows.where("comp <> major").select("key", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
+        return merged(one.join(rows, "key").where(alike & F.expr("comp <> cx AND (comp = major OR x < cid)")), comp)
+
+    alike = 100 * F.least("n", "nx") >= p * F.greatest("n", "nx")
 
     def bounded(rows: DataFrame) -> DataFrame:
         """With ``need``, by the least slack (times q) of those in and out of the hub's component."""
@@ -276,26 +330,28 @@ def _settled(groups: DataFrame, sets: DataFrame, comp: DataFrame, verified, of,
         return rows.join(least, "hub").withColumn("need", F.greatest(F.lit(1).cast("long"), F.ceil(low / (2 * q)))).drop("in", "out")
 
     names = ["hub", "hub_comp", "cid", "comp", "slack", "lone"]
+    last = None
     for level in range(LEVELS + 1):
         sizes = C.written(_open(groups, comp), "sizes")
-        step = F.ceil(F.log2("all"))
-        limit, pairs, hist = -1, 0, sorted(sizes.groupBy(step.alias("step")).agg(F.sum(F.expr("minor * (all - minor) + minor * (minor - 1) div 2")).alias("pairs")).collect())
+        hist = sorted(sizes.groupBy(step.alias("step")).agg(F.sum(F.expr(PAIRS)).alias("pairs")).collect())
+        limit, pairs = -1, 0
         for r in hist:
             pairs += r["pairs"]
-            limit = r["step"] if pairs <= few or level == LEVELS else limit
-        if limit >= 0:  # rows outside the largest component of their group against all rows of the group
-            rows = groups.join(comp, "cid").join(sizes.where(step <= limit).select("key", "major"), "key")
-            one = rows.where("comp <> major").select("key", F.col("cid").alias("x"), F.col("comp").alias("cx"))
-            both = one.join(rows, "key").where("comp <> cx AND (comp = major OR x < cid)")
-            fresh = verified(both.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).distinct(), "rest").where("linked")
-            comp = _merged(comp, fresh) if some(fresh) else comp
+            limit = r["step"] if pairs <= FEW * count else limit
+        if limit >= 0:
+            comp = compared(groups, sizes.where(step <= limit), comp)
         if not hist or limit == hist[-1]["step"]:
+            return comp
+        if level == LEVELS or last is not None and 2 * pairs > last:
             break
+        last = pairs
         now = groups.join(sizes.where(step > limit).select("key"), "key", "left_semi").join(comp, "cid").join(sets.select("cid", "n", "weight"), "cid")
         top = F.max(F.struct("weight", (-F.col("cid")).alias("minus"), "n", "comp")).alias("top")
         mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), top).where("lo < hi").select("key", (-F.col("top.minus")).alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.comp").alias("hub_comp"))
         # written, so that the join below has a plain exchange on either side and Spark can split a hot key's rows
         pairs = C.written(now.join(C.written(mixed, "open-keys"), "key").where("cid <> hub").select("cid", "comp", "hub", "hub_comp", "hub_n", "n").distinct(), "open-pairs")
+        if pairs.count() > HUBBED * count:
+            break
         own = of(pairs, "cid", "hub")
         rest = pairs.join(own.select("cid", "shingles"), "cid").join(own.select(F.col("cid").alias("hub"), F.col("shingles").alias("base")), "hub")
         rest = rest.withColumn("extra", F.array_except("shingles", "base")).withColumn("inter", F.size("shingles").cast("long") - F.size("extra")).withColumn("lone", F.col("hub_n") - F.size("base"))
@@ -318,7 +374,15 @@ def _settled(groups: DataFrame, sets: DataFrame, comp: DataFrame, verified, of,
                 break
         C.drop_since(sets.sparkSession, start, comp, left)
         groups = left.select(F.xxhash64("hub", "item").alias("key"), "cid")
-    return comp
+    large = C.written(groups.join(sizes.where(step > limit).select("key"), "key", "left_semi").select("cid").distinct(), "large")
+    keys = C.only(sets, large, "cid").select("cid", "shingles").mapInArrow(_bands(percent), "cid long, bands array<long>")
+    groups = C.written(keys.select("cid", F.explode("bands").alias("key")), "bands")
+    sizes = C.written(_open(groups, comp), "sizes")
+    rows = groups.join(sizes.select("key"), "key").join(comp, "cid").join(size_of, "cid")
+    # written, so that the join below has a plain exchange on either side and Spark can split a hot key's rows
+    hubs = C.written(rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("cid")).alias("minus"), "comp", "n")).alias("top")).select("key", (-F.col("top.minus")).alias("x"), F.col("top.comp").alias("cx"), F.col("top.n").alias("nx")), "open-keys")
+    comp = merged(rows.join(hubs, "key").where(alike & (F.col("comp") != F.col("cx"))), comp)
+    return compared(groups, C.written(_open(groups, comp), "sizes"), comp)
 
 
 def _members(sketch: DataFrame, classes: DataFrame, final: DataFrame) -> DataFrame:

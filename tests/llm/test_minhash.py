@@ -128,3 +128,39 @@ def test_groups_of_unlinked_texts_are_not_regrouped_many_times(table, rng, monke
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(table(docs), 3, 85).collect()}
     assert got == brute(docs, 3, 85)
     assert sum(n for tag, n in made if tag == "items") <= 16 * len(docs)
+
+
+def test_many_copies_with_edits_in_common_are_not_regrouped(table, rng, monkeypatch):
+    """All shingles are shared, few texts are linked, and each has another difference from every hub."""
+    made = []
+    written = minhash.C.written
+
+    def counted(df, tag):
+        out = written(df, tag)
+        made.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash.C, "written", counted)
+    monkeypatch.setattr(minhash, "FEW", 4)
+    base = [f"v{i}" for i in range(150)]
+    docs = []
+    for _ in range(260):
+        w = list(base)
+        for _ in range(rng.randint(0, 14)):
+            at = rng.randrange(len(w) - 1)
+            if rng.random() < 0.6:
+                del w[at]
+            else:
+                w[at], w[at + 1] = w[at + 1], w[at]
+        docs.append(" ".join(w))
+    docs = list(enumerate(docs))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(table(docs), 5, 80).collect()}
+    assert got == brute(docs, 5, 80)
+    assert any(tag == "bands" for tag, _ in made)
+    assert sum(n for tag, n in made if tag == "items") <= 16 * len(docs)
+
+
+def test_bands_miss_a_link_at_the_bound_with_small_probability():
+    for percent in (80, 85):
+        miss = (1 - (percent / 100) ** minhash.ROWS) ** minhash.band_count(percent)
+        assert miss < minhash.MISS_BANDS <= 1e-9
