@@ -1,6 +1,7 @@
 """Operator 3: the base score exactly, the model against the base on held-out texts."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -111,3 +112,19 @@ def test_model_beats_a_smoothed_bigram(spark):
     out = [r for r in lm.score(docs, *lm.fit(docs)).collect() if r["held_out"]]
     assert sum(r["n_tokens"] for r in out) == len(held)
     assert sum(r["score"] for r in out) > plain > sum(r["base_score"] for r in out)
+
+
+def test_rows_of_the_base_score_are_gone_before_tokens_are_dealt(table, rng, monkeypatch):
+    made = {}
+    written = lm.C.written
+
+    def noted(df, tag):
+        out = written(df, tag)
+        made[tag] = out.quern_path.removeprefix("file:")
+        return out
+
+    monkeypatch.setattr(lm.C, "written", noted)
+    docs = table([(i, " ".join(f"w{rng.randrange(30)}" for _ in range(20))) for i in range(60)])
+    out = lm.score(docs, *lm.fit(docs))
+    assert os.path.isdir(made["lm-sums"]) and not os.path.exists(made["lm-rows"])
+    assert out.count() == 60
