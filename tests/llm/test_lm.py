@@ -3,6 +3,7 @@
 import math
 import os
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -128,3 +129,48 @@ def test_rows_of_the_base_score_are_gone_before_tokens_are_dealt(table, rng, mon
     out = lm.score(docs, *lm.fit(docs))
     assert os.path.isdir(made["lm-sums"]) and not os.path.exists(made["lm-rows"])
     assert out.count() == 60
+
+
+def test_rows_of_sums_grow_with_the_documents_not_with_the_buckets(table, rng, monkeypatch, tmp_path):
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 500)
+    monkeypatch.setattr(lm, "TASKS", 4, raising=False)
+    learn, folder = lm._learn, str(tmp_path)
+
+    def noted(held):
+        run = learn(held)
+
+        def rows(batches):
+            for batch in run(batches):
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(str(batch.num_rows))
+                yield batch
+
+        return rows
+
+    monkeypatch.setattr(lm, "_learn", noted)
+    docs = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(60))) for i in range(200)]
+    made = {}
+    for n in (40, 200):
+        model, counts = lm.fit(table(docs[:n]))
+        assert lm.score(table(docs[:n]), model, counts).count() == n and model.buckets >= n // 10
+        made[n] = sum(int(f.read_text()) for f in tmp_path.iterdir())
+        for f in tmp_path.iterdir():
+            f.unlink()
+    assert made[40] <= 4 * 40 and made[200] <= 4 * 200
+
+
+def test_sums_of_more_documents_than_a_task_holds_leave_in_parts(monkeypatch):
+    parts = [(np.arange(k, k + 40), np.full(40, 0.5 + k)) for k in (0, 20, 20, 60, 0)]
+    want = Counter()
+    for dk, lp in parts:
+        want.update(dict(zip(dk.tolist(), lp.tolist())))
+    for limit in (1 << 22, 50, 1):
+        monkeypatch.setattr(lm, "SUMS", limit)
+        sums = lm.Sums()
+        out = [b for dk, lp in parts for b in sums.add(dk, lp)]
+        assert len(out) == {1 << 22: 0, 50: 2, 1: 5}[limit] and sums.size <= limit
+        got = Counter()
+        for b in out + list(sums.rest()):
+            for dk, lp in zip(*(c.to_pylist() for c in b.columns)):
+                got[dk] += lp
+        assert got == want and sums.size == 0
