@@ -2,6 +2,7 @@
 
 import sys
 
+import pyarrow as pa
 import pytest
 
 from quern.plans import files
@@ -13,6 +14,36 @@ def test_missing_tokenizers_are_an_error(spark, monkeypatch):
         files.p2(spark, "/root/testdata/sf0.001")
 
 
+def test_pieces_are_made_of_few_texts_at_once(spark, monkeypatch):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    pytest.importorskip("public_tokenizers")
+    texts = [None, "", "é" * 3] + ["some words of a text " * 100] * 1500 + ["x" * 1_500_000, "end"]
+    steps, sizes = [], []
+
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, schema):
+            steps.append(lambda b: [x.itertuples(index=False) for x in run(iter([b.to_pandas()]))])
+
+        def mapInArrow(self, run, schema):
+            steps.append(lambda b: [(tuple(r.values()) for r in x.to_pylist()) for x in run(iter([b]))])
+
+    class Pieces(sentencepiece.SentencePieceProcessor):
+        def encode(self, texts, **more):
+            sizes.append(sum(map(len, texts)))
+            return super().encode(texts, **more)
+
+    monkeypatch.setattr(files, "docs", lambda spark, d: Docs())
+    files.p2(spark, "")
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Pieces)
+    got = [tuple(r) for part in steps[0](pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})) for r in part]
+    assert [r[0] for r in got] == list(range(len(texts))) and [r[1] for r in got[:2]] == [0, 0]
+    assert len({r[1:] for r in got[3:1503]}) == 1 and got[3][1] > 400
+    assert max(sizes) == 1_500_000 and sorted(sizes)[-2] <= 1 << 20
+
+
 def test_readers_of_text_formats(spark, tmp_path):
     from quern.sources import files
 
