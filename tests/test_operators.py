@@ -1,6 +1,7 @@
 """Hand-made cases of the operators."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.operators import tokens as T
@@ -38,6 +39,29 @@ def test_byte_tokens_of_null_and_empty(spark):
     assert {r[0]: r[1] for r in T.byte_tokens(docs).collect()} == {0: [1], 1: [1], 2: [1, 0xC3 + 4, 0xA9 + 4]}
 
 
+@pytest.mark.parametrize("bos", [True, False])
+def test_byte_tokens_of_few_texts_at_once(bos):
+    texts = [None, "", "é"] + ["a" * 3000, "bc" * 700] * 1000 + ["x" * 1_500_000, "", "end"]
+    steps = []
+
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            steps.append(run)
+
+    T.byte_tokens(Docs(), bos)
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(-1, len(texts))), "text": ["before"] + texts}).slice(1)
+    out = list(steps[0](iter([whole.slice(0, 0), whole])))
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    for b in out:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            assert t.values.to_numpy().tolist() == [T.BOS] * bos + [x + 4 for x in (texts[i] or "").encode()]
+    sizes = sorted(len(b.column(1).flatten()) for b in out)
+    assert sizes[-1] == 1_500_000 + bos and sizes[-2] <= (1 << 20) + 2003
+
+
 @pytest.mark.parametrize("n,length,stride", [(10, 4, 2), (16, 4, 2), (4096, 1024, 64)])
 def test_window_modes_differ(spark, n, length, stride):
     times = {m: {r["times"]: r["positions"] for r in W.coverage(W.sliding(spark, n, length, stride, m), n).collect()} for m in W.MODES}
