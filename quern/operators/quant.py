@@ -8,7 +8,7 @@ Scales stay in double precision; where the half-precision form matters, use
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,25 +29,33 @@ def absolute(x: Column) -> Column:
     return F.transform(x, F.abs)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value taken once: filters that Spark moves below a projection put the expression itself in the place of its name, also in lambdas that run for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def quantile(x: Column, q: float) -> Column:
     """Exact quantile of an array with linear interpolation."""
-    s = F.array_sort(x)
+    return bound(F.sort_array(F.array_compact(x)), lambda s: _sorted_quantile(s, q))
+
+
+def _sorted_quantile(x: Column, q: float) -> Column:
     at = (F.size(x) - 1) * F.lit(q)
     lo = F.floor(at).cast("int")
     hi = F.ceil(at).cast("int")
-    a, b = F.get(s, lo), F.get(s, hi)
+    a, b = F.get(x, lo), F.get(x, hi)
     return a + (b - a) * (at - lo)
 
 
 def codes(x: Column, scale: Column, low: int, high: int) -> Column:
-    return F.transform(x, lambda v: F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.rint(v / scale))))
+    return bound(scale, lambda s: F.transform(x, lambda v: F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.rint(v / s)))))
 
 
 def int8_rows(rows: DataFrame, x: str = "x", q: float = CLIP_Q, levels: int = 127) -> DataFrame:
     """``scale`` and ``q`` of each row: clip at a quantile, scale floored at 1/levels."""
     clip = quantile(absolute(F.col(x)), q)
     out = rows.withColumn("clip", clip).withColumn("scale", F.greatest(F.col("clip") / levels, F.lit(1.0 / levels)))
-    clipped = F.transform(x, lambda v: F.greatest(-F.col("clip"), F.least(F.col("clip"), v)))
+    clipped = bound(F.col("clip"), lambda c: F.transform(x, lambda v: F.greatest(-c, F.least(c, v))))
     return out.withColumn("q", codes(clipped, F.col("scale"), -levels, levels))
 
 

@@ -152,3 +152,40 @@ def test_exact_quantile_narrows_down(spark):
         got = {r["g"]: r["quantile"] for r in exact_quantile(df, "g", F.col("v"), q, most=50).collect()}
         for g in (1, 2, 3, 4):
             assert abs(got[g] - np.quantile([v for k, v in rows if k == g], q)) < 1e-9
+
+
+def test_pruning_ranks_rows_not_codes(spark, tmp_path):
+    from quern.plans import quantization
+
+    r = np.random.default_rng(8)
+    x = (r.choice([0, 1, -1, 5, 127], (400, 12)) * r.uniform(0.01, 0.1, (400, 1))).astype(np.float32)
+    x[::3] = x[0]  # equal scales
+    x[1::9] = 0  # no unit codes
+    rows = [(int(i), v.tolist(), int(i % 2) if i % 50 else None) for i, v in zip(r.permutation(400), x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    units = {}
+    for i, v, label in rows:
+        v = np.array(v, np.float32).astype(float) * 40
+        clip = np.quantile(np.abs(v), 0.9999984)
+        scale = max(clip / 127, 1 / 127)
+        q = np.rint(np.clip(v, -clip, clip) / scale)
+        units.setdefault(label, []).extend((scale * scale, i, k) for k in np.flatnonzero(np.abs(q) == 1))
+    want = {}
+    for cells in units.values():
+        for _, i, _ in sorted(cells)[:100]:
+            want[i] = want.get(i, 0) + 1
+    got = quantization.t4(spark, str(tmp_path))
+    assert {w["vec_id"]: w["pruned"] for w in got.collect()} == want and min(map(len, units.values())) < 100 < max(map(len, units.values()))
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clip_is_taken_once_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators.quant import int8_rows
+
+    x = np.random.default_rng(4).standard_normal((6, 300))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, x array<double>")
+    plan = int8_rows(df).select("i", F.explode("q").alias("q")).where("abs(q) = 1")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert filters and all(line.count("sort") <= 4 for line in filters)  # twice for each of two conditions: in the clipped values and in the scale
