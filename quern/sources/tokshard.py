@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 # fixed values of the format
 MAGIC, VERSION, HEADER = 20240520, 1, 256
@@ -75,32 +75,50 @@ def read_range(spark: SparkSession, path: str, split: str, start: int, stop: int
     return rows.select((F.col("first") + lo).alias("from"), F.posexplode(part).alias("i", "token")).select((F.col("from") + F.col("i")).alias("pos"), "token")
 
 
+def _piece(tokens: pa.Scalar) -> bytes | pa.Buffer:
+    """16-bit ids of an array of tokens; binary holds them already."""
+    if not tokens.is_valid:
+        raise ValueError("a piece of a shard without tokens")
+    if pa.types.is_binary(tokens.type) or pa.types.is_large_binary(tokens.type):
+        data = tokens.as_buffer()
+        if len(data) % 2:
+            raise ValueError("a piece of 16-bit ids has an odd length")
+        return data
+    if tokens.values.null_count:
+        raise ValueError("a piece of a shard has a null for a token")
+    return encode_shard(tokens.values.to_numpy(zero_copy_only=False))[4 * HEADER :]
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     names: list[str]
 
 
-class _ShardWriter(DataSourceWriter):
+class _ShardWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path = options["path"].removeprefix("file://")
         self.overwrite = overwrite
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         os.makedirs(self.path, exist_ok=True)
         names: list[str] = []
+        seen: set[str] = set()
         out, n = None, 0
-        for row in rows:  # pieces of one shard follow each other
-            name = f"{row['split']}_{row['shard_id']:06d}.bin"
-            if not names or name != names[-1]:
-                self._close(out, n, names)
-                if name in names:
-                    raise ValueError(f"the pieces of {name} do not follow each other")
-                names.append(name)
-                out, n = open(self._part(name), "wb"), 0
-                out.write(bytes(4 * HEADER))
-            piece = encode_shard(np.asarray(row["tokens"]))[4 * HEADER :]
-            out.write(piece)
-            n += len(piece) // 2
+        for batch in iterator:  # pieces of one shard follow each other
+            tokens = batch.column("tokens")
+            for k, (split, shard) in enumerate(zip(batch.column("split").to_pylist(), batch.column("shard_id").to_pylist())):
+                name = f"{split}_{shard:06d}.bin"
+                if not names or name != names[-1]:
+                    self._close(out, n, names)
+                    if name in seen:
+                        raise ValueError(f"the pieces of {name} do not follow each other")
+                    names.append(name)
+                    seen.add(name)
+                    out, n = open(self._part(name), "wb"), 0
+                    out.write(bytes(4 * HEADER))
+                piece = _piece(tokens[k])
+                out.write(piece)
+                n += len(piece) // 2
         self._close(out, n, names)
         return _Written(names)
 
@@ -134,13 +152,13 @@ class _ShardWriter(DataSourceWriter):
 
 
 class TokenShards(DataSource):
-    """Sink for rows (split, shard_id, tokens), pieces of shards in order; ``path`` must be a folder that all executors mount."""
+    """Sink for rows (split, shard_id, tokens), pieces of shards in order, with tokens as an array or as binary of 16-bit little-endian ids; ``path`` must be a folder that all executors mount."""
 
     @classmethod
     def name(cls) -> str:
         return "tokshard"
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _ShardWriter(self.options, overwrite)
 
 

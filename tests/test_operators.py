@@ -106,6 +106,22 @@ def test_shard_format(spark, tmp_path):
     assert [(r["n"], r["tokens"]) for r in read_shards(spark, path).collect()] == [(2, [1, 2])]
 
 
+def test_shards_of_byte_pieces(spark, tmp_path):
+    texts = {0: None, 1: "", 2: "é" * 11, 3: "ab", 4: "\u20ac" * 30, 5: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    parts = T.pack(T.document_offsets(docs, 2), 7).join(docs, "doc_id")
+    pieces = T.byte_pieces(parts)
+    assert pieces.schema["tokens"].dataType.simpleString() == "binary"
+    path = str(tmp_path / "out")
+    write_shards(pieces, path, order="doc_id")
+    want = {"val": [1, 1], "train": [t for i in range(2, 6) for t in [1] + [x + 4 for x in texts[i].encode()]]}
+    got = {r["path"].split("/")[-1]: r["tokens"] for r in read_shards(spark, path).collect()}
+    assert got == {f"{s}_{k // 7:06d}.bin": t[k : k + 7] for s, t in want.items() for k in range(0, len(t), 7)}
+    odd = spark.createDataFrame([("train", 0, b"abc")], "split string, shard_id int, tokens binary")
+    with pytest.raises(Exception, match="odd length"):
+        write_shards(odd, str(tmp_path / "odd"))
+
+
 def test_plans_push_down(spark):
     from tests.conftest import DATA
 
