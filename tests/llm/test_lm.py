@@ -6,6 +6,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -174,3 +175,39 @@ def test_sums_of_more_documents_than_a_task_holds_leave_in_parts(monkeypatch):
             for dk, lp in zip(*(c.to_pylist() for c in b.columns)):
                 got[dk] += lp
         assert got == want and sums.size == 0
+
+
+def dealt(rng, words, texts):
+    """A model of some texts in one bucket and the blocks that its tokens are dealt in."""
+    rows = [" ".join(rng.choice(words) for _ in range(50)) for _ in range(texts)]
+    count = Counter(x for t in rows for x in tokens(t))
+    model = lm.Model(list(count.items()), sum(count.values()), len(count))
+    at = model.classes(model.words)
+    model.settle(np.bincount(at, model.count, model.classes_in_all), np.bincount(at, minlength=model.classes_in_all))
+    held = SimpleNamespace(value=model)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(texts)), pa.array(range(texts)), pa.array(rows)], ["dk", "doc_id", "text"])
+    return held, list(lm._deal(held)([batch])), sum(count.values())
+
+
+def test_dealt_tokens_take_few_bytes_and_come_back(rng):
+    words = [f"w{min(999, int(rng.expovariate(0.02)))}" for _ in range(4000)]
+    _, blocks, n = dealt(rng, words, 400)
+    assert sum(len(b.column(k)[0].as_py()) for b in blocks for k in (4, 5)) < 4 * n  # 32-bit marks of two words: above 5 bytes
+    marks = np.frombuffer(rng.randbytes(400), "<u4")
+    for far in (0, 0.2, 1):
+        place = np.array([100 if rng.random() < far else rng.randrange(100) for _ in range(500)], np.uint32)
+        want = np.where(place < 100, marks[np.minimum(place, 99)], np.arange(500)).astype(np.uint32)
+        assert (lm._unpacked(lm._packed(place, want, 100), 500, marks) == want).all()
+
+
+def test_equal_tokens_are_scored_once(rng, monkeypatch):
+    held, blocks, n = dealt(rng, ["a", "b", "c"], 200)
+    seen, log_class = [], lm.Weights.log_class
+
+    def noted(self, feats, use, leaf):
+        seen.append(len(leaf))
+        return log_class(self, feats, use, leaf)
+
+    monkeypatch.setattr(lm.Weights, "log_class", noted)
+    out = list(lm._learn(held)(blocks))
+    assert sum(b.num_rows for b in out) == 200 and sum(seen) <= 5 * 5 * 4 < n
