@@ -1,5 +1,7 @@
 """Hand-made cases of the operators."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -62,6 +64,32 @@ def test_byte_tokens_of_few_texts_at_once(bos):
     assert sizes[-1] == 1_500_000 + bos and sizes[-2] <= (1 << 20) + 2003
 
 
+def test_byte_tokens_of_a_long_text_take_little_more_than_the_tokens():
+    steps = []
+
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            steps.append(run)
+
+    T.byte_tokens(Docs())
+    n = 20_000_000
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1, 2, 3], "text": ["", "ab" * (n // 2), None, "é"]})
+    tracemalloc.start()
+    try:
+        out = list(steps[0](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [i for b in out for i in b.column(0).to_pylist()] == [0, 1, 2, 3]
+    tokens = [t.values.to_numpy() for b in out for t in b.column(1)]
+    assert [len(t) for t in tokens] == [1, n + 1, 1, 3] and all(t[0] == T.BOS for t in tokens)
+    assert (tokens[1][1::2] == 97 + 4).all() and (tokens[1][2::2] == 98 + 4).all() and tokens[3].tolist() == [T.BOS, 0xC3 + 4, 0xA9 + 4]
+    assert peak < 6 * n  # the tokens are 4 n; 8 n when they were copied to put in the marks
+
+
 @pytest.mark.parametrize("n,length,stride", [(10, 4, 2), (16, 4, 2), (4096, 1024, 64)])
 def test_window_modes_differ(spark, n, length, stride):
     times = {m: {r["times"]: r["positions"] for r in W.coverage(W.sliding(spark, n, length, stride, m), n).collect()} for m in W.MODES}
